@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.compare import cell_text, comparable, differs, holds_map
+from tallymark.operators.copies import unroll_copies
 from tallymark.operators.keys import align_keys, col, group_columns
 from tallymark.operators.profile import percent
 from tallymark.operators.schema import common_columns
@@ -35,8 +36,6 @@ _IN_SOURCE, _IN_TARGET = "_in_source", "_in_target"
 _OCCURRENCE = "occurrence"
 # Hex digits of the content digest that spread one key's rows; 3 digits are 4096 buckets.
 _BUCKET_DIGITS = 3
-# Equal rows of one key are numbered as a range and unrolled in chunks of this many.
-_COPIES_PER_CHUNK = 10_000
 
 
 @dataclass(frozen=True)
@@ -121,18 +120,12 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str
     )
     match = [placed[f"`{k}`"].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)]
     shifted = placed.join(offsets, [*match, placed["_bucket"] == offsets["_b"]], "inner")
-    first = F.col("_offset") + F.col("_skip")
-    chunks = shifted.select(
-        *key_cols, *[col(c) for c in columns], first.alias("_from"), "_n",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_COPIES_PER_CHUNK}"))).alias("_chunk"),
-    ).repartition(*key_cols, "_from", "_chunk")
-    low = F.col("_chunk") * _COPIES_PER_CHUNK + 1
-    high = F.least(F.col("_n"), (F.col("_chunk") + 1) * _COPIES_PER_CHUNK)
-    return chunks.select(
-        *key_cols,
-        *[col(c) for c in columns],
-        (F.col("_from") + F.explode(F.sequence(low, high))).alias(_OCCURRENCE),
+    ranges = shifted.select(
+        *key_cols, *[col(c) for c in columns], (F.col("_offset") + F.col("_skip")).alias("_before"), "_n"
     )
+    unrolled = unroll_copies(ranges, "_n", "_copy", [*keys, "_before"])
+    occurrence = (F.col("_before") + F.col("_copy")).alias(_OCCURRENCE)
+    return unrolled.select(*key_cols, *[col(c) for c in columns], occurrence)
 
 
 def pair_rows(

@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.operators.copies import unroll_copies
 from tallymark.operators.keys import col
 from tallymark.operators.transforms import array_columns, explode_arrays, flatten_structs
 from tallymark.sources import layouts, readers, writers
@@ -94,13 +95,15 @@ def _child_path(path: str, name: str) -> str:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Add a text id that is the same in every run: a digest of the row and its copy number.
 
-    The digest is also the group, so copies of one row are numbered together; a row that is
-    repeated very often keeps one number range per group of copies.
+    Equal rows are counted by partial aggregation and unrolled in chunks, so a row that is
+    repeated very often is not numbered in one task.
     """
-    digest = F.sha2(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-    return df.withColumn("_digest", digest).withColumn(
-        name, F.concat("_digest", F.lit("-"), F.row_number().over(Window.partitionBy("_digest").orderBy("_digest")).cast("string"))
-    ).drop("_digest")
+    row = F.struct(*[col(c) for c in df.columns])
+    digest = F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("_digest")
+    counted = df.groupBy(digest).agg(F.any_value(row).alias("_row"), F.count("*").alias("_n"))
+    numbered = unroll_copies(counted, "_n", "_copy", ["_digest"])
+    row_id = F.concat("_digest", F.lit("-"), F.col("_copy").cast("string")).alias(name)
+    return numbered.select(*[F.col("_row")[c].alias(c) for c in df.columns], row_id)
 
 
 def split_episodes(df: DataFrame, episode_id: str = "episode_id") -> tuple[DataFrame, dict[str, DataFrame]]:
