@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = ("compare",)
+_AREAS = ("compare", "quality", "transform", "attribution")
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

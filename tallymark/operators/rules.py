@@ -94,7 +94,7 @@ def _from_mapping(column: str, spec: Mapping[str, Any]) -> Rule:
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether the engine that will run the pattern accepts it (checked on one row)."""
     try:
-        spark.range(1).select(F.lit("").rlike(F.lit(pattern))).collect()
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
     except PySparkException:
         return False
     return True
@@ -103,11 +103,13 @@ def valid_pattern(spark: SparkSession, pattern: str) -> bool:
 def _resolve(df: DataFrame, name: str) -> tuple[Column, T.DataType] | None:
     if name in df.columns:
         return F.col(f"`{name}`"), df.schema[name].dataType
-    try:
-        field = df.select(F.col(name)).schema.fields[0]
-    except PySparkException:
-        return None
-    return F.col(name), field.dataType
+    # A dotted name reaches into struct columns.
+    dtype: T.DataType = df.schema
+    for part in name.split("."):
+        if not isinstance(dtype, T.StructType) or part not in dtype.names:
+            return None
+        dtype = dtype[part].dataType
+    return F.col(name), dtype
 
 
 @dataclass(frozen=True)

@@ -45,8 +45,7 @@ def compare(df, db, sql):
     left, right = _rows(df.columns, got), _rows(columns, want)
     if left == right:
         return None
-    extra = [r for r in left if r not in set(right)][:3]
-    lacking = [r for r in right if r not in set(left)][:3]
+    extra, lacking = sorted(set(left) - set(right))[:3], sorted(set(right) - set(left))[:3]
     return f"{len(left)} rows against {len(right)}; only in Spark {extra}; only in SQL {lacking}"
 
 
