@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = ("compare", "quality", "transform", "attribution", "outcomes", "logs")
+_AREAS = ("compare", "quality", "transform", "attribution", "outcomes", "logs", "formats")
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

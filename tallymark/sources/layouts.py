@@ -128,8 +128,8 @@ def _record_field(field: Mapping[str, Any], charset: str) -> Column:
     if kind == "binary":
         # Unsigned first; a value in the upper half stands for itself minus the full range.
         unsigned = F.conv(digits, 16, 10).try_cast("decimal(20,0)")
-        half, full = 2 ** (4 * n - 1), 2 ** (4 * n)
-        signed = F.when(unsigned >= F.lit(half).cast("decimal(20,0)"), unsigned - F.lit(str(full)).cast("decimal(20,0)"))
+        half, full = (F.lit(str(2 ** (4 * n - k))).cast("decimal(20,0)") for k in (1, 0))
+        signed = F.when(unsigned >= half, unsigned - full)
         whole = F.coalesce(signed, unsigned)
         return whole.try_cast("long") if scale == 0 else (whole / F.lit(10**scale)).try_cast(f"decimal(20,{scale})")
     raise ValueError(f"unknown record field type '{kind}'")
