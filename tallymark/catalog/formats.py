@@ -297,7 +297,7 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""),
     "xml_to_csv": (xml_to_csv, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part"),
     "episodic_to_csv": (episodic_to_csv, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(unnest(range(len(parts))) AS VARCHAR) AS lines_item_line_no,
-       CAST(unnest(list_transform(parts, x -> length(x))) AS VARCHAR) AS lines_item_n_chars FROM l"""),
+       CAST(unnest(list_transform(parts, lambda x: length(x))) AS VARCHAR) AS lines_item_n_chars FROM l"""),
     "episodic_parents": (episodic_parents, "SELECT CAST(doc_id AS VARCHAR) AS episode_id, lang FROM documents"),
     "conversion_report": (conversion_report, """SELECT 'csv_to_psv' AS conversion, count(*) AS rows_processed, CAST(6 AS BIGINT) AS columns_processed,
        'PSV' AS output_format, 'success' AS status FROM orders"""),

@@ -42,8 +42,9 @@ def span_rank(start: Column, span_id: Column, known_start: Column | None = None)
 
 
 def _ranked(spans: DataFrame) -> DataFrame:
+    """Spans with their ``rank``, written once because every kind of match reads them again."""
     known = F.col("known_start") if "known_start" in spans.columns else None
-    return spans.withColumn("rank", span_rank(F.col("start"), F.col("span_id"), known))
+    return durable(spans.withColumn("rank", span_rank(F.col("start"), F.col("span_id"), known)))
 
 
 # --- matches by equal value -------------------------------------------------------------
@@ -95,12 +96,24 @@ def disjoint_windows(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return reached.select(*by_cols, start.alias("lo"), "hi", "rank").filter("lo <= hi")
 
 
+def time_range(events: DataFrame) -> tuple[int, int] | None:
+    """First and last event time in microseconds; ``None`` without any."""
+    at = micros(F.col("ts"))
+    row = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    return None if row["lo"] is None else (row["lo"], row["hi"])
+
+
 def earliest_window(
-    events: DataFrame, windows: DataFrame, ts: str, out: str, by: tuple[str, str] | None = None
+    events: DataFrame,
+    windows: DataFrame,
+    out: str,
+    within: tuple[int, int] | None,
+    by: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the ``rank`` of the earliest window that holds the event's time, else null.
 
-    ``by`` = (event column, window column) restricts an event to windows of its own value.
+    ``within`` is the :func:`time_range` of the events. ``by`` = (event column, window column)
+    restricts an event to windows of its own value.
 
     The disjoint intervals are cut again at time slots of their mean length, which at most
     triples them. When their measured number is small and no slot is crowded they are broadcast,
@@ -110,17 +123,15 @@ def earliest_window(
     """
     empty = F.lit(None).cast(windows.schema["rank"].dataType)
     by_window = [by[1]] if by else []
-    if windows.isEmpty():
+    if within is None or windows.isEmpty():
         return events.withColumn(out, empty)
+    first, last = within
     cut = durable(disjoint_windows(windows, by_window))
-    times = events.agg(F.min(micros(col(ts))).alias("lo"), F.max(micros(col(ts))).alias("hi")).first()
-    if times["lo"] is None:
-        return events.withColumn(out, empty)
     # An open-ended window costs no more slots than the events' own time range has.
-    inside = cut.filter((F.col("hi") >= times["lo"]) & (F.col("lo") <= times["hi"])).select(
+    inside = cut.filter((F.col("hi") >= first) & (F.col("lo") <= last)).select(
         *[col(b).alias("_by") for b in by_window],
-        F.greatest("lo", F.lit(times["lo"])).alias("lo"),
-        F.least("hi", F.lit(times["hi"])).alias("hi"),
+        F.greatest("lo", F.lit(first)).alias("lo"),
+        F.least("hi", F.lit(last)).alias("hi"),
         "rank",
     )
     size = inside.agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length")).first()
@@ -131,7 +142,7 @@ def earliest_window(
     slotted = inside.withColumn("_slot", F.explode(slots))
     crowd = slotted.groupBy("_slot", *["_by" for _ in by_window]).count()
     load = crowd.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    stamped = events.withColumn("_at", micros(col(ts))).withColumn("_event_slot", F.floor(F.col("_at") / width))
+    stamped = events.withColumn("_at", micros(F.col("ts"))).withColumn("_event_slot", F.floor(F.col("_at") / width))
     if by:
         stamped = stamped.withColumn("_event_by", col(by[0]))
     if load["rows"] <= _BROADCAST_INTERVALS and load["most"] <= _MAX_INTERVALS_PER_SLOT:
@@ -192,7 +203,12 @@ def span_windows(ranked: DataFrame, buffer_seconds: float) -> DataFrame:
 
 
 def with_window_match(
-    events: DataFrame, ranked: DataFrame, buffer_seconds: float, out: str, by: tuple[str, str] | None = None
+    events: DataFrame,
+    ranked: DataFrame,
+    buffer_seconds: float,
+    out: str,
+    within: tuple[int, int] | None,
+    by: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the rank of the earliest span around the event's time.
 
@@ -200,8 +216,8 @@ def with_window_match(
     own: inside each layer, ranks go by start.
     """
     windows = span_windows(ranked, buffer_seconds)
-    late = earliest_window(events, windows.filter("rank.known_start"), "ts", "_late", by)
-    both = earliest_window(late, windows.filter("NOT rank.known_start"), "ts", "_early", by)
+    late = earliest_window(events, windows.filter("rank.known_start"), "_late", within, by)
+    both = earliest_window(late, windows.filter("NOT rank.known_start"), "_early", within, by)
     return both.withColumn(out, F.coalesce("_early", "_late")).drop("_early", "_late")
 
 
@@ -296,9 +312,10 @@ def attribute_by_window(
     An event that carries a name only belongs to spans of that name; ``id_columns`` maps event
     columns to span columns that must be equal for an id match. Spans need both bounds.
     """
-    ranked = _ranked(spans)
-    found = with_window_match(events, ranked, buffer_seconds, "_any")
-    found = with_window_match(found, ranked.filter("name IS NOT NULL"), buffer_seconds, "_named", ("name", "name"))
+    ranked, within = _ranked(spans), time_range(events)
+    found = with_window_match(events, ranked, buffer_seconds, "_any", within)
+    named = ranked.filter("name IS NOT NULL")
+    found = with_window_match(found, named, buffer_seconds, "_named", within, ("name", "name"))
     ranks = [F.when(F.col("name").isNull(), F.col("_any")).otherwise(F.col("_named"))]
     for i, (event_column, span_column) in enumerate((id_columns or {}).items()):
         found = with_value_match(found, ranked, event_column, span_column, f"_id{i}")
@@ -320,7 +337,7 @@ def attribute_cascade(
     """
     ranked = _ranked(repair_bounds(spans, events))
     found = with_value_match(events, ranked, "name", "name", "_name")
-    found = with_window_match(found, ranked, buffer_seconds, "_time")
+    found = with_window_match(found, ranked, buffer_seconds, "_time", time_range(events))
     found = with_message_match(found, ranked, "_message")
     winner = F.least("_name", "_time", "_message")
     kind = (
@@ -364,7 +381,7 @@ def attribute_by_ids(
         .agg((F.min(micros(F.col("ts"))) - pad).alias("lo"), (F.max(micros(F.col("ts"))) + pad).alias("hi"))
         .select("lo", "hi", F.struct(F.col("_span").alias("span_id")).alias("rank"))
     )
-    near = earliest_window(found, ranges, "ts", "_near")
+    near = earliest_window(found, ranges, "_near", time_range(events))
     minute = F.concat(F.lit(f"{fallback_prefix}-"), F.date_format("ts", "yyyy-MM-dd HH:mm"))
     kind = F.when(F.col("_span").isNotNull(), "id").when(F.col("_near").isNotNull(), "proximity").otherwise("minute")
     return near.select(

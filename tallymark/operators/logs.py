@@ -17,13 +17,13 @@ _LINES_PER_BLOCK = 100_000
 
 def fix_unknown_origin(logs: DataFrame) -> DataFrame:
     """Replace ``module`` and ``function`` of rows where either is ``unknown``, from the message."""
-    unknown = _unknown_origin()
-    origin = logtext.message_origin(F.col("message"))
-    better = unknown & ((origin["module"] != logtext.UNKNOWN) | (origin["function"] != logtext.UNKNOWN))
-    return logs.withColumns({
-        "module": F.when(better, origin["module"]).otherwise(F.col("module")),
-        "function": F.when(better, origin["function"]).otherwise(F.col("function")),
-    })
+    found = logs.withColumn("_origin", F.when(_unknown_origin(), logtext.message_origin(F.col("message"))))
+    module, function = F.col("_origin.module"), F.col("_origin.function")
+    better = F.coalesce((module != logtext.UNKNOWN) | (function != logtext.UNKNOWN), F.lit(False))
+    return found.withColumns({
+        "module": F.when(better, module).otherwise(F.col("module")),
+        "function": F.when(better, function).otherwise(F.col("function")),
+    }).drop("_origin")
 
 
 def _unknown_origin() -> Column:
@@ -100,17 +100,19 @@ def test_counts(lines: DataFrame) -> DataFrame:
     def number(pattern: str) -> Column:
         return F.regexp_extract(line, pattern, 1).try_cast("long")
 
-    ran = number(r"Ran (\d+) tests in ")
     both = line.contains("errors=") & line.contains("failures=")
-    errors, failures, skipped = (number(rf"{w}=(\d+)") for w in ("errors", "failures", "skipped"))
+    numbers = {"_ran": number(r"Ran (\d+) tests in "), "_skipped": number(r"skipped=(\d+)")}
+    numbers |= {f"_{w}": F.when(both, number(rf"{w}=(\d+)")) for w in ("errors", "failures")}
+    parsed = lines.select("run_id", "line_no", *[c.alias(n) for n, c in numbers.items()])
+    ran, errors, failures, skipped = (F.col(c) for c in ("_ran", "_errors", "_failures", "_skipped"))
 
     def filled(value: Column, name: str) -> Column:
         return F.coalesce(value, F.lit(0)).alias(name)
 
-    return lines.groupBy("run_id").agg(
+    return parsed.groupBy("run_id").agg(
         filled(_last(ran, ran.isNotNull()), "run"),
-        filled(_first(errors, both & errors.isNotNull()), "errors"),
-        filled(_first(failures, both & failures.isNotNull()), "failures"),
+        filled(_first(errors, errors.isNotNull()), "errors"),
+        filled(_first(failures, failures.isNotNull()), "failures"),
         filled(_first(skipped, skipped.isNotNull()), "skipped"),
     )
 
