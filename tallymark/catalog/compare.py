@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallymark.catalog import inputs
 from tallymark.operators import diff, keys, profile
-from tallymark.plans.reconcile import reconcile, reconcile_many, Comparison
+from tallymark.plans.reconcile import Comparison, compare_files as golden, reconcile, reconcile_many
+from tallymark.session import scratch_path
+from tallymark.sources.writers import write_delimited
 
 _MATCHED_ORDERS = "matched AS (SELECT s.*, t.* RENAME (" + ", ".join(
     f"{c} AS t_{c}" for c in [*inputs.ORDER_KEY, *inputs.ORDER_COLUMNS]
@@ -136,6 +138,16 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_many(runs).select("test_case_name", "validation_type", "status")
 
 
+def compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides as CSV files, all columns text; an empty cell reads as null."""
+    paths = []
+    for side, df in zip(("source", "target"), inputs.orders_pair(spark, sf_dir)):
+        paths.append(scratch_path(spark, f"orders-{side}"))
+        write_delimited(df, paths[-1])
+    done = golden(spark, {"fmt": "csv", "path": paths[0]}, {"fmt": "csv", "path": paths[1]}, inputs.ORDER_KEY)
+    return done.column_stats
+
+
 def _stats_sql(matched: str, columns: list[str], differs: str) -> str:
     parts = []
     for c in columns:
@@ -297,6 +309,7 @@ FROM words"""),
 nulls AS ({_NULLS})
 SELECT DISTINCT 'column' AS kind, column_name FROM cells
 UNION ALL SELECT 'null', column_name FROM nulls WHERE null_percentage > 0"""),
+    "compare_files": (compare_files, f"{_WITH}, " + _stats_sql("matched", inputs.ORDER_COLUMNS, _DISTINCT)),
     "batch_summary": (batch_summary, f"""{_WITH}, {_CHECKS}
 SELECT 'orders' AS test_case_name,
        unnest(['Count Validation', 'Schema Validation', 'Data Validation', 'Null Check', 'Duplicate Check',

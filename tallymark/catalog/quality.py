@@ -97,8 +97,8 @@ def schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema differences, with the rows of the source they concern."""
     source, target = _retyped(spark, sf_dir)
-    rows = source.agg(F.count("*").alias("source_rows"))
-    return schema.schema_diff(source, target).join(F.broadcast(rows))
+    rows = source.agg(F.count("*").alias("n")).scalar()
+    return schema.schema_diff(source, target).withColumn("source_rows", rows)
 
 
 def _retyped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

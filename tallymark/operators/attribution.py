@@ -264,30 +264,38 @@ def _grams(text: Column, short_lengths: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[of_length(n) for n in [_GRAM, *short_lengths]]))
 
 
-def with_message_match(events: DataFrame, ranked: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: the rank of the earliest span whose name occurs in the event's message."""
-    first = ranked.filter("name IS NOT NULL").groupBy("name").agg(F.min("rank").alias("_rank"))
-    hits = names_in_messages(events, first, ["event_id"])
-    found = hits.join(first.withColumnRenamed("name", "_span_name"), F.col("name") == F.col("_span_name"))
-    per_event = found.groupBy(F.col("event_id").alias("_hit_id")).agg(F.min("_rank").alias(out))
+def with_message_match(events: DataFrame, ranked: DataFrame, mentions: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: the rank of the earliest span whose name occurs in the event's message.
+
+    ``mentions`` is what :func:`names_in_messages` found, with ``event_id``.
+    """
+    first = ranked.groupBy(F.col("name").alias("_span_name")).agg(F.min("rank").alias("_rank"))
+    per_event = (
+        mentions.join(first, F.col("name") == F.col("_span_name"))
+        .groupBy(F.col("event_id").alias("_hit_id"))
+        .agg(F.min("_rank").alias(out))
+    )
     return events.join(per_event, F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
 
 
 # --- operators --------------------------------------------------------------------------
 
 
-def repair_bounds(spans: DataFrame, events: DataFrame) -> DataFrame:
+def repair_bounds(spans: DataFrame, events: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """Fill missing span bounds and add ``known_start``.
 
     A missing start is the first event with the span's name (as its own name or in its message),
     else ten minutes before the end, else open. A missing end is the last such event, else ten
-    minutes after the start.
+    minutes after the start. ``mentions`` are the names found in messages (``name``, ``ts``), when
+    they are known already.
     """
     incomplete = spans.filter("start IS NULL OR `end` IS NULL").select("name").filter("name IS NOT NULL").distinct()
-    own = events.select("name", "ts").join(incomplete.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left_semi")
-    mentioned = names_in_messages(events, incomplete, ["ts"]).select("name", "ts")
+    if mentions is None:
+        mentions = names_in_messages(events, incomplete, ["ts"])
     seen = (
-        own.unionAll(mentioned)
+        events.select("name", "ts")
+        .unionAll(mentions.select("name", "ts"))
+        .join(incomplete.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left_semi")
         .groupBy(F.col("name").alias("_seen_name"))
         .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     )
@@ -335,10 +343,12 @@ def attribute_cascade(
     Missing span bounds are repaired first. The earliest span that matches in any of the three
     ways takes the event; ``match_kind`` is the first way, in that order, in which it matches.
     """
-    ranked = _ranked(repair_bounds(spans, events))
+    # Both the repair and the message match read the mentions; finding them reads every message.
+    mentions = durable(names_in_messages(events, spans, ["event_id", "ts"]))
+    ranked = _ranked(repair_bounds(spans, events, mentions))
     found = with_value_match(events, ranked, "name", "name", "_name")
     found = with_window_match(found, ranked, buffer_seconds, "_time", time_range(events))
-    found = with_message_match(found, ranked, "_message")
+    found = with_message_match(found, ranked, mentions, "_message")
     winner = F.least("_name", "_time", "_message")
     kind = (
         F.when(winner.isNull(), "default")

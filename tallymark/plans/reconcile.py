@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import diff, keys as key_ops, profile, rules as rule_ops, schema
+from tallymark.sources.readers import read_dataset
 
 VALIDATIONS = ("schema", "count", "data", "null", "duplicate")
 _PLURALS = {"nulls": "null", "duplicates": "duplicate"}
@@ -257,6 +258,17 @@ def reconcile(
     return Reconciliation(source, target, keys, validations, rules, pairing, null_mode)
 
 
+def compare_files(
+    spark: SparkSession,
+    source: Mapping[str, Any],
+    target: Mapping[str, Any],
+    keys: Sequence[str] | None = None,
+    **options: Any,
+) -> Reconciliation:
+    """Compare two datasets given as arguments of :func:`read_dataset` (``fmt``, ``path``, ...)."""
+    return reconcile(read_dataset(spark, **source), read_dataset(spark, **target), keys, **options)
+
+
 @dataclass(frozen=True)
 class Comparison:
     """One named comparison of a batch."""
