@@ -257,11 +257,9 @@ def names_in_messages(events: DataFrame, names: DataFrame, keep: Sequence[str])
 def _grams(text: Column, short_lengths: Sequence[int]) -> Column:
     """Distinct substrings of the gram length, and of each short name length."""
 
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-    return F.array_distinct(F.concat(*[of_length(n) for n in [_GRAM, *short_lengths]]))
+    # The lookahead matches at every position, so this is one linear scan per length.
+    pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in [_GRAM, *short_lengths]]
+    return F.array_distinct(F.concat(*pieces))
 
 
 def with_message_match(events: DataFrame, ranked: DataFrame, mentions: DataFrame, out: str) -> DataFrame:

@@ -10,7 +10,7 @@ Pairings, and how each holds up when one key has a third of all rows:
   first), and each source row meets that row. The target is reduced by a partial aggregate, and
   the joins are left outer and left anti, whose big left side adaptive execution can split.
 * ``occurrence`` - the n-th row of a key meets the n-th row of it on the other side. Numbering
-  is spread over buckets of a key, and the join is on (key, number), which is unique.
+  a frequent key is spread over its buckets, and the join is on (key, number), which is unique.
 
 A null key equals a null key everywhere.
 """
@@ -36,6 +36,8 @@ _IN_SOURCE, _IN_TARGET = "_in_source", "_in_target"
 _OCCURRENCE = "occurrence"
 # Hex digits of the content digest that spread one key's rows; 3 digits are 4096 buckets.
 _BUCKET_DIGITS = 3
+# A key with more rows than this is numbered in parts.
+_ROWS_PER_KEY = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -93,24 +95,35 @@ def first_match(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
 def number_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Keys, ``columns`` and ``occurrence``: a 1-based number per key, the same in every run.
 
-    The order inside a key is (digest bucket of the row, compared columns). Equal rows are
-    counted first and numbered as a range, each bucket is numbered on its own, and a running
-    sum over at most 4096 bucket sizes per key shifts the buckets; so the rows of one hot key
-    are spread over many tasks and no task holds a whole key.
+    The order inside a key is (digest bucket of the row, compared columns). The rows of the most
+    frequent key are counted first. When they fit a task, one window per key numbers the rows;
+    otherwise the rows of a key are spread over many tasks, with the same numbers as result.
     """
     rows = df.select(
         *group_columns(df, keys),
         *[comparable(col(c), df.schema[c].dataType).alias(c) for c in columns],
     )
+    text = F.concat_ws("|", *[cell_text(col(c), rows.schema[c].dataType) for c in columns])
+    bucket = F.substring(F.md5(text), 1, _BUCKET_DIGITS)
+    key_cols = [col(k) for k in keys]
+    most = rows.groupBy(*key_cols).count().agg(F.max("count")).first()[0] or 0
+    if most > _ROWS_PER_KEY:
+        return _number_spread(rows, keys, columns, bucket)
+    in_key = Window.partitionBy(*key_cols).orderBy("_bucket", *[col(c).asc_nulls_first() for c in columns])
+    numbered = rows.withColumn("_bucket", bucket).withColumn(_OCCURRENCE, F.row_number().over(in_key).cast("long"))
+    return numbered.drop("_bucket")
+
+
+def _number_spread(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], bucket: Column) -> DataFrame:
+    """Equal rows are counted first and numbered as a range, each bucket is numbered on its own,
+    and a running sum over at most 4096 bucket sizes per key shifts the buckets."""
     key_cols = [col(k) for k in keys]
     copies = rows.groupBy(*key_cols, *[col(c) for c in columns]).agg(F.count("*").alias("_n"))
-    text = F.concat_ws("|", *[cell_text(col(c), rows.schema[c].dataType) for c in columns])
-    copies = copies.withColumn("_bucket", F.substring(F.md5(text), 1, _BUCKET_DIGITS))
+    copies = copies.withColumn("_bucket", bucket)
     before = Window.unboundedPreceding, -1
-    in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy(*[col(c).asc_nulls_first() for c in columns])
-    if not columns:
-        in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy("_n")
-    placed = copies.withColumn("_skip", F.coalesce(F.sum("_n").over(in_bucket.rowsBetween(*before)), F.lit(0)))
+    order = [col(c).asc_nulls_first() for c in columns] or [F.col("_n")]
+    in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy(*order).rowsBetween(*before)
+    placed = copies.withColumn("_skip", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
     sizes = copies.groupBy(*key_cols, "_bucket").agg(F.sum("_n").alias("_size"))
     by_bucket = Window.partitionBy(*key_cols).orderBy("_bucket").rowsBetween(*before)
     offsets = sizes.select(
@@ -118,8 +131,8 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str
         F.col("_bucket").alias("_b"),
         F.coalesce(F.sum("_size").over(by_bucket), F.lit(0)).alias("_offset"),
     )
-    match = [placed[f"`{k}`"].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)]
-    shifted = placed.join(offsets, [*match, placed["_bucket"] == offsets["_b"]], "inner")
+    match = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    shifted = placed.join(offsets, [*match, F.col("_bucket") == F.col("_b")], "inner")
     ranges = shifted.select(
         *key_cols, *[col(c) for c in columns], (F.col("_offset") + F.col("_skip")).alias("_before"), "_n"
     )

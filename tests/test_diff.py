@@ -105,8 +105,21 @@ def _skewed(spark, seed, n=4000):
     return rows, spark.createDataFrame(rows, "k int, a int, b string")
 
 
-def test_occurrence_numbers_are_complete(spark, monkeypatch):
-    monkeypatch.setattr("tallymark.operators.copies._COPIES_PER_CHUNK", 100)
+@pytest.fixture(params=["one window", "spread"])
+def numbering(request, monkeypatch):
+    if request.param == "spread":
+        monkeypatch.setattr(diff, "_ROWS_PER_KEY", 10)
+        monkeypatch.setattr("tallymark.operators.copies._COPIES_PER_CHUNK", 100)
+
+
+def test_spread_numbers_are_the_same(spark, monkeypatch):
+    _, df = _skewed(spark, 9)
+    plain = Counter(tuple(r) for r in diff.number_occurrences(df, ["k"], ["a", "b"]).collect())
+    monkeypatch.setattr(diff, "_ROWS_PER_KEY", 10)
+    assert Counter(tuple(r) for r in diff.number_occurrences(df, ["k"], ["a", "b"]).collect()) == plain
+
+
+def test_occurrence_numbers_are_complete(spark, numbering):
     rows, df = _skewed(spark, 1)
     found = diff.number_occurrences(df, ["k"], ["a", "b"]).collect()
     assert Counter((r.k, r.a, r.b) for r in found) == Counter(rows)
@@ -116,12 +129,12 @@ def test_occurrence_numbers_are_complete(spark, monkeypatch):
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in numbers.values())
 
 
-def test_occurrence_pairs_equal_sides_fully(spark):
+def test_occurrence_pairs_equal_sides_fully(spark, numbering):
     _, df = _skewed(spark, 2)
     assert diff.row_diff(diff.pair_rows(df, df.repartition(5), ["k"], pairing="occurrence")).count() == 0
 
 
-def test_occurrence_counts_against_brute_force(spark):
+def test_occurrence_counts_against_brute_force(spark, numbering):
     left, source = _skewed(spark, 3)
     right, target = _skewed(spark, 4)
     found = Counter(r.status for r in diff.row_diff(diff.pair_rows(source, target, ["k"], pairing="occurrence")).collect())
