@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.timeline import MICROS, micros, shift_seconds
 from tallymark.operators.keys import col
-from tallymark.session import durable
+from tallymark.session import broadcast_if_small, durable
 
 SPAN_BUFFER_SECONDS = 30
 PROXIMITY_SECONDS = 10
@@ -59,7 +59,8 @@ def with_value_match(
         .groupBy(col(span_column).alias("_value"))
         .agg(F.min("rank").alias(out))
     )
-    return events.join(lookup, col(event_column) == F.col("_value"), "left_outer").drop("_value")
+    found = events.join(broadcast_if_small(lookup), col(event_column) == F.col("_value"), "left_outer")
+    return found.drop("_value")
 
 
 # --- matches by time --------------------------------------------------------------------
@@ -113,43 +114,52 @@ def earliest_window(
     """Add ``out``: the ``rank`` of the earliest window that holds the event's time, else null.
 
     ``within`` is the :func:`time_range` of the events. ``by`` = (event column, window column)
-    restricts an event to windows of its own value.
+    restricts an event to windows of its own value. Windows come in two layers: those with
+    ``first`` win over the others whatever their time. Inside a layer ranks must go by ``lo``.
 
-    The disjoint intervals are cut again at time slots of their mean length, which at most
+    The disjoint intervals are cut again at time slots of about their mean length, which at most
     triples them. When their measured number is small and no slot is crowded they are broadcast,
     and each event looks up its slot. Otherwise events and intervals are shuffled by slot and
     swept in time order; a slot with many events is split into as many parts as its event count
     asks for, each with its own copy of the slot's intervals.
     """
-    empty = F.lit(None).cast(windows.schema["rank"].dataType)
-    by_window = [by[1]] if by else []
-    if within is None or windows.isEmpty():
-        return events.withColumn(out, empty)
-    first, last = within
-    cut = durable(disjoint_windows(windows, by_window))
+    empty = events.withColumn(out, F.lit(None).cast(windows.schema["rank"].dataType))
+    if within is None:
+        return empty
     # An open-ended window costs no more slots than the events' own time range has.
-    inside = cut.filter((F.col("hi") >= first) & (F.col("lo") <= last)).select(
-        *[col(b).alias("_by") for b in by_window],
-        F.greatest("lo", F.lit(first)).alias("lo"),
-        F.least("hi", F.lit(last)).alias("hi"),
+    inside = windows.filter((F.col("hi") >= within[0]) & (F.col("lo") <= within[1])).select(
+        *([col(by[1]).alias("_by")] if by else []),
+        F.greatest("lo", F.lit(within[0])).alias("lo"),
+        F.least("hi", F.lit(within[1])).alias("hi"),
         "rank",
+        "first",
     )
-    size = inside.agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length")).first()
+    size = inside.agg(
+        F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length"),
+        F.bool_or("first").alias("first"), F.bool_and("first").alias("only_first"),
+    ).first()
     if not size["n"]:
-        return events.withColumn(out, empty)
-    width = size["length"] // size["n"] + 1
+        return empty
+    # Without ``by`` the disjoint intervals cover the time range at most once in each layer.
+    length = size["length"] if by else min(size["length"], 2 * (within[1] - within[0]))
+    width = length // size["n"] + 1
+    group = ["_by"] if by else []
     slots = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    slotted = inside.withColumn("_slot", F.explode(slots))
-    crowd = slotted.groupBy("_slot", *["_by" for _ in by_window]).count()
+    slotted = disjoint_windows(inside, ["first", *group]).withColumn("_slot", F.explode(slots))
+    crowd = slotted.groupBy("first", *group, "_slot").count()
     load = crowd.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    stamped = events.withColumn("_at", micros(F.col("ts"))).withColumn("_event_slot", F.floor(F.col("_at") / width))
+    small = load["rows"] <= _BROADCAST_INTERVALS and load["most"] <= _MAX_INTERVALS_PER_SLOT
+    match = _look_up if small else _sweep
+    found = events.withColumn("_at", micros(F.col("ts"))).withColumn("_event_slot", F.floor(F.col("_at") / width))
     if by:
-        stamped = stamped.withColumn("_event_by", col(by[0]))
-    if load["rows"] <= _BROADCAST_INTERVALS and load["most"] <= _MAX_INTERVALS_PER_SLOT:
-        found = _look_up(stamped, slotted, out, bool(by))
-    else:
-        found = _sweep(stamped, slotted, out, bool(by))
-    return found.select(*[col(c) for c in events.columns], out)
+        found = found.withColumn("_event_by", col(by[0]))
+    layers = ([True] if size["first"] else []) + ([] if size["only_first"] else [False])
+    names = {layer: f"_layer_{i}" for i, layer in enumerate(layers)}
+    for layer, name in names.items():
+        intervals = slotted.filter(F.col("first") == layer).drop("first")
+        found = match(found, intervals, name, bool(by))
+    winner = F.coalesce(*[F.col(n) for n in names.values()])
+    return found.select(*[col(c) for c in events.columns], winner.alias(out))
 
 
 def _look_up(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> DataFrame:
@@ -157,7 +167,8 @@ def _look_up(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> Data
     match = (F.col("_event_slot") == F.col("_slot")) & F.col("_at").between(F.col("lo"), F.col("hi"))
     if by:
         match = match & (F.col("_event_by") == F.col("_by"))
-    return stamped.join(F.broadcast(slotted.withColumnRenamed("rank", out)), match, "left_outer")
+    found = stamped.join(F.broadcast(slotted.withColumnRenamed("rank", out)), match, "left_outer")
+    return found.select(*[col(c) for c in stamped.columns], out)
 
 
 def _sweep(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> DataFrame:
@@ -190,7 +201,8 @@ def _sweep(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> DataFr
     in_time = Window.partitionBy(*event_group, "_part").orderBy("_at", F.col("_is_event").asc_nulls_first())
     last = F.last("_interval", ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
     swept = both.withColumn("_last", last).filter("_is_event")
-    return swept.withColumn(out, F.when(F.col("_at") <= F.col("_last.hi"), F.col("_last.rank")))
+    won = F.when(F.col("_at") <= F.col("_last.hi"), F.col("_last.rank"))
+    return swept.select(*[col(c) for c in stamped.columns], won.alias(out))
 
 
 def span_windows(ranked: DataFrame, buffer_seconds: float) -> DataFrame:
@@ -212,13 +224,11 @@ def with_window_match(
 ) -> DataFrame:
     """Add ``out``: the rank of the earliest span around the event's time.
 
-    Spans without a known start come first whatever their window, so they are a layer of their
-    own: inside each layer, ranks go by start.
+    Spans without a known start come first whatever their window; inside each of the two layers
+    ranks go by start.
     """
-    windows = span_windows(ranked, buffer_seconds)
-    late = earliest_window(events, windows.filter("rank.known_start"), "_late", within, by)
-    both = earliest_window(late, windows.filter("NOT rank.known_start"), "_early", within, by)
-    return both.withColumn(out, F.coalesce("_early", "_late")).drop("_early", "_late")
+    windows = span_windows(ranked, buffer_seconds).withColumn("first", ~F.col("rank.known_start"))
+    return earliest_window(events, windows, out, within, by)
 
 
 # --- matches by name inside the message -------------------------------------------------
@@ -231,7 +241,7 @@ def names_in_messages(events: DataFrame, names: DataFrame, keep: Sequence[str])
     A message is looked up by its own distinct substrings and every hit is checked in full.
     Shorter names are filed and looked up by their whole length.
     """
-    wanted = names.select("name").filter("name <> ''").distinct().withColumn("_low", F.lower("name"))
+    wanted = durable(names.select("name").filter("name <> ''").distinct().withColumn("_low", F.lower("name")))
     short = F.length("_low") < _GRAM
     # At most three values: the lengths below the gram length.
     lengths = sorted(r[0] for r in wanted.filter(short).select(F.length("_low")).distinct().collect())
@@ -248,8 +258,9 @@ def names_in_messages(events: DataFrame, names: DataFrame, keep: Sequence[str])
     looked = events.filter("message IS NOT NULL").select(
         *[col(c) for c in keep], F.lower("message").alias("_text")
     )
+    # Without a broadcast the substrings of every message would be shuffled.
     hits = looked.withColumn("_gram", F.explode(_grams(F.col("_text"), lengths))).join(
-        filed, (F.col("_gram") == F.col("_filed_gram")) & F.contains(F.col("_text"), F.col("_low"))
+        broadcast_if_small(filed), (F.col("_gram") == F.col("_filed_gram")) & F.contains(F.col("_text"), F.col("_low"))
     )
     return hits.select(*[col(c) for c in keep], F.col("_name").alias("name"))
 
@@ -269,11 +280,11 @@ def with_message_match(events: DataFrame, ranked: DataFrame, mentions: DataFrame
     """
     first = ranked.groupBy(F.col("name").alias("_span_name")).agg(F.min("rank").alias("_rank"))
     per_event = (
-        mentions.join(first, F.col("name") == F.col("_span_name"))
+        mentions.join(broadcast_if_small(first), F.col("name") == F.col("_span_name"))
         .groupBy(F.col("event_id").alias("_hit_id"))
         .agg(F.min("_rank").alias(out))
     )
-    return events.join(per_event, F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
+    return events.join(broadcast_if_small(per_event), F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
 
 
 # --- operators --------------------------------------------------------------------------
@@ -293,7 +304,7 @@ def repair_bounds(spans: DataFrame, events: DataFrame, mentions: DataFrame | Non
     seen = (
         events.select("name", "ts")
         .unionAll(mentions.select("name", "ts"))
-        .join(incomplete.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left_semi")
+        .join(broadcast_if_small(incomplete.withColumnRenamed("name", "_n")), F.col("name") == F.col("_n"), "left_semi")
         .groupBy(F.col("name").alias("_seen_name"))
         .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     )
@@ -341,6 +352,7 @@ def attribute_cascade(
     Missing span bounds are repaired first. The earliest span that matches in any of the three
     ways takes the event; ``match_kind`` is the first way, in that order, in which it matches.
     """
+    spans = durable(spans)
     # Both the repair and the message match read the mentions; finding them reads every message.
     mentions = durable(names_in_messages(events, spans, ["event_id", "ts"]))
     ranked = _ranked(repair_bounds(spans, events, mentions))
@@ -387,7 +399,7 @@ def attribute_by_ids(
         found.filter("_span IS NOT NULL")
         .groupBy("_span")
         .agg((F.min(micros(F.col("ts"))) - pad).alias("lo"), (F.max(micros(F.col("ts"))) + pad).alias("hi"))
-        .select("lo", "hi", F.struct(F.col("_span").alias("span_id")).alias("rank"))
+        .select("lo", "hi", F.struct("lo", F.col("_span").alias("span_id")).alias("rank"), F.lit(False).alias("first"))
     )
     near = earliest_window(found, ranges, "_near", time_range(events))
     minute = F.concat(F.lit(f"{fallback_prefix}-"), F.date_format("ts", "yyyy-MM-dd HH:mm"))
