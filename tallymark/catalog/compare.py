@@ -191,7 +191,7 @@ _CELLS = "cells AS (" + " UNION ALL ".join(
 ) + ")"
 
 _LINE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in inputs.LINE_COLUMNS)
-_LINE_DIGEST = "substr(md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in inputs.LINE_COLUMNS) + ")), 1, 3)"
+_LINE_DIGEST = "substr(md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in inputs.LINE_COLUMNS) + ")), 1, 4)"
 
 _OCCURRENCES = f"""
 ns AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_DIGEST}, {_LINE_ORDER}) AS n FROM src),

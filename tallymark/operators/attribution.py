@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.timeline import MICROS, micros, shift_seconds
 from tallymark.operators.keys import col
-from tallymark.session import broadcast_if_small, durable
+from tallymark.session import BROADCAST_MAX_BYTES, broadcast_if_small, durable
 
 SPAN_BUFFER_SECONDS = 30
 PROXIMITY_SECONDS = 10
@@ -28,8 +28,10 @@ MISSING_BOUND_SECONDS = 600
 OPEN_START = "2000-01-01 00:00:00"
 
 _GRAM = 4
-# Slotted intervals are broadcast up to this many rows (below 50 MB), if no slot is crowded.
+# Slotted intervals are broadcast up to this many rows and the general byte bound, if no slot is
+# crowded.
 _BROADCAST_INTERVALS = 500_000
+_INTERVAL_BYTES = 48
 _MAX_INTERVALS_PER_SLOT = 64
 _ROWS_PER_TASK = 2_000_000
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -146,9 +148,14 @@ def earliest_window(
     group = ["_by"] if by else []
     slots = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
     slotted = disjoint_windows(inside, ["first", *group]).withColumn("_slot", F.explode(slots))
-    crowd = slotted.groupBy("first", *group, "_slot").count()
-    load = crowd.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    small = load["rows"] <= _BROADCAST_INTERVALS and load["most"] <= _MAX_INTERVALS_PER_SLOT
+    id_bytes = F.octet_length(F.col("rank").cast("string")) + _INTERVAL_BYTES
+    crowd = slotted.groupBy("first", *group, "_slot").agg(F.count("*").alias("n"), F.sum(id_bytes).alias("bytes"))
+    load = crowd.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("n").alias("most")).first()
+    small = (
+        load["rows"] <= _BROADCAST_INTERVALS
+        and load["bytes"] <= BROADCAST_MAX_BYTES
+        and load["most"] <= _MAX_INTERVALS_PER_SLOT
+    )
     match = _look_up if small else _sweep
     found = events.withColumn("_at", micros(F.col("ts"))).withColumn("_event_slot", F.floor(F.col("_at") / width))
     if by:

@@ -34,8 +34,8 @@ PAIRINGS = ("unique", "first", "occurrence")
 
 _IN_SOURCE, _IN_TARGET = "_in_source", "_in_target"
 _OCCURRENCE = "occurrence"
-# Hex digits of the content digest that spread one key's rows; 3 digits are 4096 buckets.
-_BUCKET_DIGITS = 3
+# Hex digits of the content digest that spread one key's rows; 4 digits are 65,536 buckets.
+_BUCKET_DIGITS = 4
 # A key with more rows than this is numbered in parts.
 _ROWS_PER_KEY = 1_000_000
 
@@ -116,7 +116,7 @@ def number_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str
 
 def _number_spread(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], bucket: Column) -> DataFrame:
     """Equal rows are counted first and numbered as a range, each bucket is numbered on its own,
-    and a running sum over at most 4096 bucket sizes per key shifts the buckets."""
+    and a running sum over at most 65,536 bucket sizes per key shifts the buckets."""
     key_cols = [col(k) for k in keys]
     copies = rows.groupBy(*key_cols, *[col(c) for c in columns]).agg(F.count("*").alias("_n"))
     copies = copies.withColumn("_bucket", bucket)

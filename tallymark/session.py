@@ -14,19 +14,19 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    In local mode a missing setting falls back to a fresh temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so the setting is required there.
+    In local mode, without either, it is a fresh temporary folder; on a cluster a machine-local
+    folder would be lost with its machine, so the setting is required there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="tallymark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallymark-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,9 +37,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so a lost executor cannot change the rows."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(spark))
+    root = shared_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 

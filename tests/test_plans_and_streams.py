@@ -70,3 +70,34 @@ def test_shared_root_and_broadcast_bound(spark, monkeypatch):
     assert "Broadcast" in small.join(broadcast_if_small(small), "id")._jdf.queryExecution().toString()
     monkeypatch.setattr("tallymark.session.BROADCAST_MAX_ROWS", 5)
     assert "ResolvedHint" not in broadcast_if_small(small)._jdf.queryExecution().toString()
+
+
+class _Context:
+    """A Spark context without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class _Session:
+    def __init__(self, master, **settings):
+        self.sparkContext, self.conf = _Context(master), settings
+
+
+@pytest.mark.parametrize(("session", "want"), [
+    (_Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x/c"}), "hdfs://x/c"),
+    (_Session("local[2]"), "tallymark-"),
+    (_Session("spark://host:7077"), None),
+])
+def test_shared_root_without_a_setting(session, want):
+    if want is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_root(session)
+    else:
+        assert want in shared_root(session)
