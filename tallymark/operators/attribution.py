@@ -325,14 +325,26 @@ def repair_bounds(spans: DataFrame, events: DataFrame, mentions: DataFrame | Non
     return filled.withColumn("end", end).drop("_seen_name", "_first", "_last")
 
 
+def _kept(assigned: str | None, found: Column) -> Column:
+    """The span an event already has, where ``assigned`` names a column of such ids, else ``found``."""
+    return F.coalesce(col(assigned), found) if assigned else found
+
+
+def _kind(assigned: str | None, kind: Column) -> Column:
+    return F.when(col(assigned).isNotNull(), "assigned").otherwise(kind) if assigned else kind
+
+
 def attribute_by_window(
     events: DataFrame,
     spans: DataFrame,
     buffer_seconds: float = SPAN_BUFFER_SECONDS,
     id_columns: Mapping[str, str] | None = None,
+    assigned: str | None = None,
 ) -> DataFrame:
     """Add ``span_id``: the earliest span around the event, or with one of its ids.
 
+    ``assigned`` names a column with span ids that events have already; those stay.
+
     An event that carries a name only belongs to spans of that name; ``id_columns`` maps event
     columns to span columns that must be equal for an id match. Spans need both bounds.
     """
@@ -345,7 +357,7 @@ def attribute_by_window(
         found = with_value_match(found, ranked, event_column, span_column, f"_id{i}")
         ranks.append(F.col(f"_id{i}"))
     winner = F.least(*ranks) if len(ranks) > 1 else ranks[0]
-    return found.select(*[col(c) for c in events.columns], winner["span_id"].alias("span_id"))
+    return found.select(*[col(c) for c in events.columns], _kept(assigned, winner["span_id"]).alias("span_id"))
 
 
 def attribute_cascade(
@@ -353,9 +365,12 @@ def attribute_cascade(
     spans: DataFrame,
     default_id: str = "default",
     buffer_seconds: float = SPAN_BUFFER_SECONDS,
+    assigned: str | None = None,
 ) -> DataFrame:
     """Add ``span_id`` and ``match_kind`` (``name``, ``time``, ``message`` or ``default``).
 
+    Events that have a span id in the ``assigned`` column keep it, with kind ``assigned``.
+
     Missing span bounds are repaired first. The earliest span that matches in any of the three
     ways takes the event; ``match_kind`` is the first way, in that order, in which it matches.
     """
@@ -375,8 +390,8 @@ def attribute_cascade(
     )
     return found.select(
         *[col(c) for c in events.columns],
-        F.coalesce(winner["span_id"].cast("string"), F.lit(default_id)).alias("span_id"),
-        kind.alias("match_kind"),
+        F.coalesce(_kept(assigned, winner["span_id"]).cast("string"), F.lit(default_id)).alias("span_id"),
+        _kind(assigned, kind).alias("match_kind"),
     )
 
 
@@ -386,9 +401,13 @@ def attribute_by_ids(
     id_columns: Mapping[str, str],
     proximity_seconds: float = PROXIMITY_SECONDS,
     fallback_prefix: str = "fallback",
+    assigned: str | None = None,
 ) -> DataFrame:
     """Add ``span_id`` and ``match_kind`` (``id``, ``proximity`` or ``minute``).
 
+    Events that have a span id in the ``assigned`` column keep it, with kind ``assigned``, and
+    their times count for the range of that span.
+
     Events with an equal id go to the earliest such span. The events of a span so found, widened
     by the proximity, then claim the remaining ones; of several, the range that starts first. All
     ranges come from the id matches, none from other proximity matches. What is left is labelled
@@ -400,7 +419,7 @@ def attribute_by_ids(
         found = with_value_match(found, ranked, event_column, span_column, f"_id{i}")
     ids = [F.col(f"_id{i}") for i in range(len(id_columns))]
     winner = F.least(*ids) if len(ids) > 1 else ids[0]
-    found = found.select(*[col(c) for c in events.columns], winner["span_id"].alias("_span"))
+    found = found.select(*[col(c) for c in events.columns], _kept(assigned, winner["span_id"]).alias("_span"))
     pad = int(proximity_seconds * MICROS)
     ranges = (
         found.filter("_span IS NOT NULL")
@@ -414,7 +433,7 @@ def attribute_by_ids(
     return near.select(
         *[col(c) for c in events.columns],
         F.coalesce(F.col("_span").cast("string"), F.col("_near.span_id").cast("string"), minute).alias("span_id"),
-        kind.alias("match_kind"),
+        _kind(assigned, kind).alias("match_kind"),
     )
 
 

@@ -152,3 +152,17 @@ def test_missing_parents_counts_null_references(spark):
     children = spark.createDataFrame([(1,), (2,), (None,)], "p int")
     parents = spark.createDataFrame([(1,), (1,)], "id int")
     assert sorted((r.p for r in a.missing_parents(children, parents, {"p": "id"}).collect()), key=str) == [2, None]
+
+
+def test_assigned_events_keep_their_span(spark):
+    events = spark.createDataFrame(
+        [(1, _at(0), None, None, None, 9), (2, _at(5), None, None, None, None), (3, _at(500), None, None, None, None)],
+        EVENTS + ", had long",
+    )
+    spans = spark.createDataFrame([(7, "t", _at(0), _at(10), 1)], SPANS)
+    by_window = {r.event_id: r.span_id for r in a.attribute_by_window(events, spans, assigned="had").collect()}
+    assert by_window == {1: 9, 2: 7, 3: None}
+    cascade = {r.event_id: (r.span_id, r.match_kind) for r in a.attribute_cascade(events, spans, assigned="had").collect()}
+    assert cascade == {1: ("9", "assigned"), 2: ("7", "time"), 3: ("default", "default")}
+    by_ids = {r.event_id: (r.span_id, r.match_kind) for r in a.attribute_by_ids(events, spans, {"trace_id": "trace_id"}, assigned="had").collect()}
+    assert by_ids[1] == ("9", "assigned") and by_ids[2] == ("9", "proximity") and by_ids[3][1] == "minute"
