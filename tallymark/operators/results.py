@@ -263,7 +263,7 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object] | None = None) -
     for name, value in (defaults or RESULT_DEFAULTS).items():
         if name in df.columns:
             current = F.nullif(col(name), F.lit("")) if isinstance(value, str) else col(name)
-            filled[name] = F.coalesce(current, F.lit(value))
+            filled[name] = F.coalesce(current, F.lit(value).cast(df.schema[name].dataType))
     return df.withColumns(filled) if filled else df
 
 

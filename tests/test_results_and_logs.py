@@ -171,3 +171,10 @@ def test_sample_result_row_is_accepted(spark):
     assert r.accept_results(df).first().accepted
     bad = df.withColumns({"status": F.lit("OK"), "target_count": F.lit(-1), "execution_run_id": F.lit("run")})
     assert r.accept_results(bad).first().reasons == ["target_count", "status", "execution_run_id"]
+
+
+def test_defaults_keep_the_column_types(spark):
+    df = spark.createDataFrame([(None, "x", ""), ("odd", None, None)], "source_count string, sid string, status string")
+    filled = r.fill_defaults(df)
+    assert filled.dtypes == df.dtypes
+    assert [tuple(x) for x in filled.collect()] == [("0", "x", "FAIL"), ("odd", "unknown", "FAIL")]
