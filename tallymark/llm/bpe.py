@@ -80,7 +80,7 @@ class BytePairEncoder:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([self.joined.get(int(a) << _ID_BITS | int(b), -1) for a in self.byte_ids for b in self.byte_ids])
         self.find = regex.compile(pattern).findall
-        self.pieces, self.words = _Memory(), _Memory()
+        self.pieces, self.words = Memory(), Memory()
 
     def merge(self, words: Sequence[bytes]) -> list[list[int]]:
         """Ids of pre-tokens. They lie in one linked list that is cut between them, so each is merged
@@ -191,7 +191,7 @@ class BytePairEncoder:
 _SPACES = regex.compile(r"[\s\x1c-\x1f]{2}")
 
 
-class _Memory:
+class Memory:
     """What keys were turned into. When full, only what was used again since then stays; long keys never do."""
 
     def __init__(self, most: int = _REMEMBERED) -> None:
