@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,6 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     @F.pandas_udf("boolean")
     def kept(texts, langs):
-        return texts.combine(langs, lambda text, lang: judge(text or "", lang, references)[-1]).astype(bool)
+        return pd.Series([judge(text or "", lang, references)[-1] for text, lang in zip(texts, langs, strict=True)], dtype=bool)
 
     return df.where(kept(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, chat, editprint, licenses, mixing, quality, records, simhash
+from tallymark.llm import bpe, chat, classifier, editprint, licenses, mixing, quality, records, simhash, substrings
 from tallymark.session import scratch_path
 
 
@@ -51,6 +51,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_documents(spark, sf_dir))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_documents(spark, sf_dir))
+
+
+def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = classifier.target_sample(spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr("quality = 1 AND toxic = 0"))
+    return classifier.resample(_documents(spark, sf_dir), good)
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir), target_entropy=0.9)
     return mixed.select("doc_id", "source", F.col("_weight").alias("weight"), F.col("_copies").alias("copies"))
@@ -68,6 +77,8 @@ QUERIES = {
     "op4_edit_fingerprints": (document_fingerprints, None),
     "op5_token_records": (token_records, None),
     "op6_quality_rules": (quality_rules, None),
+    "op7_repeated_passages": (repeated_passages, None),
+    "op8_quality_resampling": (quality_resampling, None),
     "op9_source_mixing": (source_mixing, None),
     "op10_byte_bpe": (byte_bpe, None),
 }

@@ -110,11 +110,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """The rows of ``df``, all columns, with the smallest doc_id of their near-duplicate group.
 
     The other members' ids are dropped with an anti join. Rows without a doc_id stay, rows that repeat
     the kept doc_id stay as well: they are one document.
     """
-    dropped = near_duplicate_groups(df, id_col, text_col, shingle_words).where("doc_id != component_id").select("doc_id").distinct()
-    return df.join(dropped, F.col(f"`{id_col}`") == dropped["doc_id"], "left_anti")
+    dropped = near_duplicate_groups(df, id_col, text_col, shingle_words).where("doc_id != component_id")
+    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
+    return df.join(ids, F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
