@@ -89,12 +89,14 @@ class BytePairEncoder:
         rank_of, queue, buckets = self.joined.get, self.queue, self.queue.buckets
         text = np.frombuffer(b"".join(words), np.uint8)
         n = len(text)
+        if n == 0:
+            return [[] for _ in words]
         ends = np.cumsum([len(word) for word in words])
         links = np.arange(1, n + 1)
         links[ends[ends > 0] - 1] = -1
         after = links.tolist()
         links = np.arange(-1, n - 1)
-        links[np.minimum(np.concatenate([[0], ends[:-1]]), max(n - 1, 0))] = -1
+        links[np.minimum(np.concatenate([[0], ends[:-1]]), n - 1)] = -1
         before = links.tolist()
         parts = self.byte_ids[text].tolist()
         ranks = np.full(n, -1)

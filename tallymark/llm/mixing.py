@@ -41,12 +41,14 @@ def source_totals(tokens: DataFrame) -> DataFrame:
 
 
 def temperature(totals: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None) -> float:
-    """The exponent in [0, 1] nearest to 1 whose weights have at least ``target_entropy`` (as a part of that of
-    equal weights), raised as far as needed so that no source is wanted more than ``max_repetition`` times
-    its share. Both fall or rise with the exponent, so a grid of 33 exponents is narrowed five times; each
-    round is one aggregate, of which the driver sees a row per exponent.
+    """The exponent in [0, 1] that the targets ask for; 1 without any.
+
+    ``target_entropy`` is a part of the entropy of equal weights: the largest exponent that still has it. With
+    ``max_repetition``, no source is wanted more than so many times its share: the smallest exponent that keeps
+    to it, or the former where that is larger. Both are monotone in the exponent, so a grid of 33 exponents is narrowed
+    five times; each round is one aggregate, of which the driver sees a row per exponent.
     """
-    exponent = 1.0
+    exponent = 1.0 if max_repetition is None else 0.0
     if target_entropy is not None:
         n = totals.where("share > 0").count()
         wanted = target_entropy * math.log(n) if n > 1 else 0.0
