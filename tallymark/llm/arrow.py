@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_ROWS = 256
+_ROWS = 1024
 _BYTES = 4 << 20
 
 
@@ -23,7 +23,7 @@ def text_columns(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Da
 
 
 def row_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows as tuples in blocks of at most 256 rows and, unless one row is larger, 4 MB, so that few texts are held twice."""
+    """Rows as tuples in blocks of at most 1,024 rows and, unless one row is larger, 4 MB, so that few texts are held twice."""
     for batch in batches:
         step = max(1, min(_ROWS, _BYTES * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, step):

@@ -69,8 +69,10 @@ def unframe(data: bytes, offset: int) -> tuple[int | None, np.ndarray, int]:
 class WordTokenizer:
     """A tokenizer whose pre-tokens never span white space, applied to each distinct piece between spaces and newlines once.
 
-    The pieces' ids in order are the ids of the whole text, because the normalizer maps white space to
-    single spaces and the pre-tokenizer drops it. Pieces met before are remembered, up to a bound.
+    The pieces' ids in order are the ids of the whole text, because the normalizer maps white space to single spaces and
+    lower-cases, and the pre-tokenizer drops white space and parts letters from the marks that follow. So texts of ASCII
+    and Latin-1 letters are lower-cased first and their marks set apart, which leaves fewer pieces. Pieces met before are
+    remembered, up to a bound.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -78,28 +80,45 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.words = Memory(), Memory()
+        self.pieces = Memory(_REMEMBERED)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(n) or "").endswith("</w>") for n in range(size)])
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        cut = [_pieces(text) for text in texts]
         known = self.pieces.ready(set().union(*cut), self._encode)
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Letters of Latin-1 are looked up in lower case and apart from the punctuation that follows, as the tokenizer itself treats them."""
-        parts = []
-        for piece in pieces:
-            plain = _LETTERS_THEN_MARKS.fullmatch(piece)
-            parts.append((plain[1].lower(), plain[2]) if plain else (piece,))
-        known = self.words.ready(set().union(*parts), self._encode_words)
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for e in found for ids in (e.ids,)]
-
-
-_LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#$%&*|]*)")
+        """Pieces of letters alone are one pre-token each, so many go as one text and are told apart by their last ids."""
+        words = [piece for piece in pieces if _LETTERS.fullmatch(piece)]
+        texts = [" ".join(words[n:n + _WORDS_AT_ONCE]) for n in range(0, len(words), _WORDS_AT_ONCE)]
+        made = [self._split(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        known = dict(zip(words, (ids for own in made for ids in own), strict=True))
+        others = [piece for piece in pieces if piece not in known]
+        found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        known.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        return list(map(known.__getitem__, pieces))
+
+    def _split(self, ids: list[int]) -> list[bytes]:
+        values = np.array(ids, "<u4")
+        data = values.tobytes()
+        stops = (4 * (np.flatnonzero(self.ends_word[values]) + 1)).tolist()
+        return [data[start:stop] for start, stop in zip([0, *stops], stops)]
+
+
+_WORDS_AT_ONCE = 500
+_LETTERS = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
+_REMEMBERED = 400_000
+_NOT_PLAIN = re.compile(r"[^\x00-\x7f\xc0-\xff]")
+_MARKS_AFTER_LETTER = re.compile(r"(?<=[a-z\xe0-\xf6\xf8-\xff])([.,;:!?#$%&*|]+)(?= |\Z)")
+
+
+def _pieces(text: str) -> list[str]:
+    spaced = text.replace("\n", " ")
+    if not _NOT_PLAIN.search(spaced):
+        spaced = _MARKS_AFTER_LETTER.sub(r" \1", spaced.lower())
+    return spaced.split(" ")
 
 
 @functools.lru_cache(maxsize=1)
