@@ -58,6 +58,29 @@ def column_stats_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.column_stats(diff.pair_rows(source, target, inputs.LINE_KEY, pairing="occurrence"))
 
 
+def _occurrence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = inputs.lines_pair(spark, sf_dir)
+    return diff.row_diff(diff.pair_rows(source, target, inputs.LINE_KEY, pairing="occurrence"))
+
+
+def row_diff_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readable(_occurrence_rows(spark, sf_dir))
+
+
+def cell_diff_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = diff.cell_diff(_occurrence_rows(spark, sf_dir)).where("column IS NOT NULL")
+    return cells.select(*inputs.LINE_KEY, "occurrence", F.col("column").alias("column_name"))
+
+
+def column_stats_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys above 2^53 as long and as decimal, and long cells next to doubles, which cannot hold every long."""
+    orders = inputs.table(spark, sf_dir, "orders")
+    big = F.col("o_orderkey") + F.lit(1 << 53)
+    source = orders.select(big.alias("k"), big.alias("v"), F.col("o_custkey").alias("w"))
+    target = orders.select(big.cast("decimal(20,0)").alias("k"), big.cast("double").alias("v"), F.col("o_custkey").cast("double").alias("w"))
+    return diff.column_stats(diff.pair_rows(source, target, ["k"]))
+
+
 def _readable(rows: DataFrame) -> DataFrame:
     names = F.array_join(F.array_sort(F.col("differences.column")), ",")
     return rows.withColumn("changed", names).drop("differences")
@@ -191,17 +214,35 @@ _CELLS = "cells AS (" + " UNION ALL ".join(
 ) + ")"
 
 _LINE_ORDER = ", ".join(f"{c} NULLS FIRST" for c in inputs.LINE_COLUMNS)
-_LINE_DIGEST = "substr(md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in inputs.LINE_COLUMNS) + ")), 1, 4)"
+_LINE_CELLS = ", ".join(inputs.LINE_COLUMNS)
 
+# Equal rows cancel one by one; the others are numbered within their key.
 _OCCURRENCES = f"""
-ns AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_DIGEST}, {_LINE_ORDER}) AS n FROM src),
-nt AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_DIGEST}, {_LINE_ORDER}) AS n FROM tgt),
+cs AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, {_LINE_CELLS}) AS c FROM src),
+ct AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, {_LINE_CELLS}) AS c FROM tgt),
+equal AS (SELECT * FROM cs INTERSECT SELECT * FROM ct),
+ns AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS n
+       FROM (SELECT * FROM cs EXCEPT SELECT * FROM equal)),
+nt AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS n
+       FROM (SELECT * FROM ct EXCEPT SELECT * FROM equal)),
+lone AS (
+  SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, coalesce(s.l_linenumber, t.l_linenumber) AS l_linenumber,
+         coalesce(s.n, t.n) AS occurrence, s.n AS sn, t.n AS tn,
+         {", ".join(f"s.{c}, t.{c} AS t_{c}" for c in inputs.LINE_COLUMNS)}
+  FROM ns s FULL JOIN nt t ON s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber AND s.n = t.n
+),
 matched AS (
-  SELECT s.l_quantity, s.l_extendedprice, s.l_returnflag,
-         t.l_quantity AS t_l_quantity, t.l_extendedprice AS t_l_extendedprice, t.l_returnflag AS t_l_returnflag
-  FROM ns s JOIN nt t ON s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber AND s.n = t.n
+  SELECT {_LINE_CELLS}, {", ".join(f"{c} AS t_{c}" for c in inputs.LINE_COLUMNS)} FROM equal
+  UNION ALL SELECT {_LINE_CELLS}, {", ".join(f"t_{c}" for c in inputs.LINE_COLUMNS)} FROM lone WHERE sn IS NOT NULL AND tn IS NOT NULL
 )"""
 
+_LONE_STATUS = "CASE WHEN tn IS NULL THEN 'missing_in_target' WHEN sn IS NULL THEN 'missing_in_source' ELSE 'values_differ' END"
+_LONE_CHANGED = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS DISTINCT FROM t_{c} THEN '{c}' END" for c in sorted(inputs.LINE_COLUMNS)) + ")"
+_LONE_CELLS = " UNION ALL ".join(
+    f"""SELECT l_orderkey, l_linenumber, occurrence, '{c}' AS column_name FROM lone
+    WHERE sn IS NOT NULL AND tn IS NOT NULL AND {c} IS DISTINCT FROM t_{c}""" for c in inputs.LINE_COLUMNS
+)
+
 _FIRST = f"""first_rows AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS rn FROM tgt
@@ -272,6 +313,21 @@ SELECT * FROM src s WHERE EXISTS (
         column_stats_occurrence,
         f"WITH {inputs.LINES_TARGET}, {_OCCURRENCES}, " + _stats_sql("matched", inputs.LINE_COLUMNS, _DISTINCT),
     ),
+    "row_diff_occurrence": (
+        row_diff_occurrence,
+        f"""WITH {inputs.LINES_TARGET}, {_OCCURRENCES}
+SELECT l_orderkey, l_linenumber, occurrence, {_LONE_STATUS} AS status,
+       CASE WHEN sn IS NULL OR tn IS NULL THEN '' ELSE {_LONE_CHANGED} END AS changed FROM lone""",
+    ),
+    "cell_diff_occurrence": (
+        cell_diff_occurrence, f"WITH {inputs.LINES_TARGET}, {_OCCURRENCES} {_LONE_CELLS}",
+    ),
+    "column_stats_mixed_types": (
+        column_stats_mixed_types,
+        """WITH matched AS (
+  SELECT o_orderkey + 9007199254740992 AS v, CAST(o_orderkey + 9007199254740992 AS DOUBLE)::HUGEINT AS t_v,
+         o_custkey AS w, o_custkey AS t_w FROM orders), """ + _stats_sql("matched", ["v", "w"], _DISTINCT),
+    ),
     "row_diff": (row_diff, f"WITH {inputs.ORDERS_TARGET}, {_DIFF} SELECT * FROM diff"),
     "row_diff_first_match": (row_diff_first_match, f"WITH {inputs.LINES_TARGET}, {_FIRST}"),
     "diff_summary": (diff_summary, f"""WITH {inputs.ORDERS_TARGET}, {_DIFF}
@@ -285,7 +341,7 @@ SELECT column_name, o_orderkey, source_value, target_value FROM (
     "flagged_rows": (flagged_rows, f"""WITH {inputs.ORDERS_TARGET}, {_DIFF}
 SELECT t.o_orderkey, coalesce(d.status = 'missing_in_source', false) AS row_missing, coalesce(d.changed, '') AS changed
 FROM tgt t LEFT JOIN diff d ON d.o_orderkey = t.o_orderkey"""),
-    "first_match": (first_match, f"""SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM (
+    "first_match": (first_match, f"""SELECT l_orderkey, l_linenumber, {_LINE_CELLS} FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS rn FROM lineitem)
 WHERE rn = 1"""),
     "null_profile": (null_profile, f"WITH {inputs.ORDERS_TARGET} {_NULLS}"),

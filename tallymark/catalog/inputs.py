@@ -45,7 +45,9 @@ tgt AS (
 # --- line items, whose key repeats, against a drifted copy ----------------------------------
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
-LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_returnflag"]
+LINE_COLUMNS = [
+    "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
 
 
 def lines_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -54,12 +56,10 @@ def lines_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lines, lines.filter("l_quantity <> 3").withColumn("l_returnflag", flag)
 
 
-LINES_TARGET = """
-src AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem),
+LINES_TARGET = f"""
+src AS (SELECT {", ".join([*LINE_KEY, *LINE_COLUMNS])} FROM lineitem),
 tgt AS (
-  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
-         CASE WHEN l_quantity > 45 THEN 'X' ELSE l_returnflag END AS l_returnflag
-  FROM lineitem WHERE l_quantity <> 3
+  SELECT * REPLACE (CASE WHEN l_quantity > 45 THEN 'X' ELSE l_returnflag END AS l_returnflag) FROM src WHERE l_quantity <> 3
 )"""
 
 # --- test results from orders ---------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.timeline import MICROS, micros, shift_seconds
 from tallymark.operators.keys import col
-from tallymark.session import BROADCAST_MAX_BYTES, broadcast_if_small, durable
+from tallymark.session import broadcast_if_small, durable
 
 SPAN_BUFFER_SECONDS = 30
 PROXIMITY_SECONDS = 10
@@ -28,12 +28,6 @@ MISSING_BOUND_SECONDS = 600
 OPEN_START = "2000-01-01 00:00:00"
 
 _GRAM = 4
-# Slotted intervals are broadcast up to this many rows and the general byte bound, if no slot is
-# crowded.
-_BROADCAST_INTERVALS = 500_000
-_INTERVAL_BYTES = 48
-_MAX_INTERVALS_PER_SLOT = 64
-_ROWS_PER_TASK = 2_000_000
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -119,97 +113,44 @@ def earliest_window(
     restricts an event to windows of its own value. Windows come in two layers: those with
     ``first`` win over the others whatever their time. Inside a layer ranks must go by ``lo``.
 
-    The disjoint intervals are cut again at time slots of about their mean length, which at most
-    triples them. When their measured number is small and no slot is crowded they are broadcast,
-    and each event looks up its slot. Otherwise events and intervals are shuffled by slot and
-    swept in time order; a slot with many events is split into as many parts as its event count
-    asks for, each with its own copy of the slot's intervals.
+    Event times and the starts of the disjoint intervals are sorted together, by range partitions that Spark cuts
+    by their number, whatever their times; the last start before an event decides, and each partition takes over the
+    last start of those before it. Only event ids travel, and a burst of events in one moment is split by them.
     """
     empty = events.withColumn(out, F.lit(None).cast(windows.schema["rank"].dataType))
     if within is None:
         return empty
-    # An open-ended window costs no more slots than the events' own time range has.
     inside = windows.filter((F.col("hi") >= within[0]) & (F.col("lo") <= within[1])).select(
-        *([col(by[1]).alias("_by")] if by else []),
-        F.greatest("lo", F.lit(within[0])).alias("lo"),
-        F.least("hi", F.lit(within[1])).alias("hi"),
-        "rank",
-        "first",
-    )
-    size = inside.agg(
-        F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length"),
-        F.bool_or("first").alias("first"), F.bool_and("first").alias("only_first"),
-    ).first()
-    if not size["n"]:
-        return empty
-    # Without ``by`` the disjoint intervals cover the time range at most once in each layer.
-    length = size["length"] if by else min(size["length"], 2 * (within[1] - within[0]))
-    width = length // size["n"] + 1
+        *([col(by[1]).alias("_by")] if by else []), "lo", "hi", "rank", "first")
     group = ["_by"] if by else []
-    slots = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    slotted = disjoint_windows(inside, ["first", *group]).withColumn("_slot", F.explode(slots))
-    id_bytes = F.octet_length(F.col("rank").cast("string")) + _INTERVAL_BYTES
-    crowd = slotted.groupBy("first", *group, "_slot").agg(F.count("*").alias("n"), F.sum(id_bytes).alias("bytes"))
-    load = crowd.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max("n").alias("most")).first()
-    small = (
-        load["rows"] <= _BROADCAST_INTERVALS
-        and load["bytes"] <= BROADCAST_MAX_BYTES
-        and load["most"] <= _MAX_INTERVALS_PER_SLOT
-    )
-    match = _look_up if small else _sweep
-    found = events.withColumn("_at", micros(F.col("ts"))).withColumn("_event_slot", F.floor(F.col("_at") / width))
-    if by:
-        found = found.withColumn("_event_by", col(by[0]))
-    layers = ([True] if size["first"] else []) + ([] if size["only_first"] else [False])
-    names = {layer: f"_layer_{i}" for i, layer in enumerate(layers)}
-    for layer, name in names.items():
-        intervals = slotted.filter(F.col("first") == layer).drop("first")
-        found = match(found, intervals, name, bool(by))
-    winner = F.coalesce(*[F.col(n) for n in names.values()])
-    return found.select(*[col(c) for c in events.columns], winner.alias(out))
-
-
-def _look_up(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> DataFrame:
-    """The intervals of a slot are disjoint, so at most one holds an event."""
-    match = (F.col("_event_slot") == F.col("_slot")) & F.col("_at").between(F.col("lo"), F.col("hi"))
-    if by:
-        match = match & (F.col("_event_by") == F.col("_by"))
-    found = stamped.join(F.broadcast(slotted.withColumnRenamed("rank", out)), match, "left_outer")
-    return found.select(*[col(c) for c in stamped.columns], out)
-
-
-def _sweep(stamped: DataFrame, slotted: DataFrame, out: str, by: bool) -> DataFrame:
-    """Sort events and interval starts by time inside each slot; the last start before an event decides."""
-    event_group = ["_event_slot", *(["_event_by"] if by else [])]
-    group = ["_slot", *(["_by"] if by else [])]
-    load = stamped.groupBy(*[F.col(c).alias(f"_load{c}") for c in event_group]).agg(
-        F.ceil(F.count("*") / _ROWS_PER_TASK).cast("long").alias("_parts")
-    )
-
-    def loaded(columns: Sequence[str]) -> list[Column]:
-        return [F.col(c).eqNullSafe(F.col(f"_load{e}")) for c, e in zip(columns, event_group)]
-
-    # Slots without events drop out here, so only useful intervals are copied.
-    copies = slotted.join(load, loaded(group)).select(
-        *[F.col(c).alias(e) for c, e in zip(group, event_group)],
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"),
-        F.col("lo").alias("_at"),
-        F.struct("hi", "rank").alias("_interval"),
-    )
-    spread = [col(c) for c in stamped.columns if "map<" not in stamped.schema[c].dataType.simpleString()]
-    dealt = (
-        stamped.join(load, loaded(event_group), "left_outer")
-        .withColumn("_part", F.pmod(F.xxhash64(*spread), F.col("_parts")))
-        .drop("_parts", *[f"_load{e}" for e in event_group])
-        .withColumn("_is_event", F.lit(True))
-    )
-    both = dealt.unionByName(copies, allowMissingColumns=True)
-    # An interval sorts before the events of its first moment (null before true).
-    in_time = Window.partitionBy(*event_group, "_part").orderBy("_at", F.col("_is_event").asc_nulls_first())
-    last = F.last("_interval", ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
-    swept = both.withColumn("_last", last).filter("_is_event")
-    won = F.when(F.col("_at") <= F.col("_last.hi"), F.col("_last.rank"))
-    return swept.select(*[col(c) for c in stamped.columns], won.alias(out))
+    intervals = disjoint_windows(inside, ["first", *group])
+    held = F.struct("hi", "rank")
+    starts = intervals.select(
+        *group, F.col("lo").alias("_at"), F.lit(False).alias("_is_event"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"),
+        F.when(F.col("first"), held).alias("_first"), F.when(~F.col("first"), held).alias("_other"))
+    points = events.select(
+        *([col(by[0]).alias("_by")] if by else []), micros(F.col("ts")).alias("_at"), F.lit(True).alias("_is_event"), "event_id")
+    both = points.filter(" AND ".join(f"{c} IS NOT NULL" for c in ["_at", *group])).unionByName(starts, allowMissingColumns=True)
+    order = [*group, "_at", "_is_event", "event_id"]
+    placed = durable(both.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    layers = ("_first", "_other")
+    # A row per partition (and value), however many events.
+    ends = placed.groupBy(*[F.col(c).alias(f"_c{c}") for c in group], F.col("_part").alias("_c_part")).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_c{c}") for c in layers])
+    across = Window.partitionBy(*[f"_c{c}" for c in group]).orderBy("_c_part").rowsBetween(*_BEFORE)
+    carried = ends.select(
+        *[F.col(f"_c{c}") for c in group], "_c_part", *[F.last(f"_c{c}", ignorenulls=True).over(across).alias(f"_carried{c}") for c in layers])
+    in_time = Window.partitionBy("_part", *group).orderBy("_at", "_is_event").rowsBetween(Window.unboundedPreceding, 0)
+    swept = placed.select(
+        *group, "_part", "_at", "_is_event", "event_id", *[F.last(c, ignorenulls=True).over(in_time).alias(c) for c in layers]).filter("_is_event")
+    same = F.col("_part") == F.col("_c_part")
+    for c in group:
+        same = same & (F.col(c) == F.col(f"_c{c}"))
+    known = swept.join(carried, same).select(
+        F.col("event_id").alias("_swept_id"), "_at", *[F.coalesce(c, f"_carried{c}").alias(c) for c in layers])
+    won = F.coalesce(*[F.when(F.col("_at") <= F.col(f"{c}.hi"), F.col(f"{c}.rank")) for c in layers])
+    winners = known.select("_swept_id", won.alias(out)).filter(F.col(out).isNotNull())
+    return events.join(winners, F.col("event_id") == F.col("_swept_id"), "left_outer").drop("_swept_id")
 
 
 def span_windows(ranked: DataFrame, buffer_seconds: float) -> DataFrame:
@@ -291,7 +232,7 @@ def with_message_match(events: DataFrame, ranked: DataFrame, mentions: DataFrame
         .groupBy(F.col("event_id").alias("_hit_id"))
         .agg(F.min("_rank").alias(out))
     )
-    return events.join(broadcast_if_small(per_event), F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
+    return events.join(per_event, F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
 
 
 # --- operators --------------------------------------------------------------------------

@@ -9,10 +9,12 @@ Pairings, and how each holds up when one key has a third of all rows:
 * ``first`` - a repeated target key stands for its first row (smallest compared values, nulls
   first), and each source row meets that row. The target is reduced by a partial aggregate, and
   the joins are left outer and left anti, whose big left side adaptive execution can split.
-* ``occurrence`` - the n-th row of a key meets the n-th row of it on the other side. Numbering
-  a frequent key is spread over its buckets, and the join is on (key, number), which is unique.
+* ``occurrence`` - rows of a key that are equal on both sides cancel each other, by count; of what is
+  left, the n-th row in the order of the compared columns meets the n-th one on the other side. Equal rows
+  are never unrolled, and numbering deals rows out by key and value, so any key is spread.
+* ``auto`` - ``unique`` if no key repeats on either side, else ``first``.
 
-A null key equals a null key everywhere.
+``unique`` fails on a repeated key. A null key equals a null key everywhere.
 """
 
 from __future__ import annotations
@@ -24,25 +26,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.compare import cell_text, comparable, differs, holds_map
+from tallymark.functions.compare import cell_text, common_forms, comparable, comparable_type, differs, holds_map
 from tallymark.operators.copies import unroll_copies
-from tallymark.operators.keys import align_keys, col, group_columns
+from tallymark.operators.keys import align_keys, col, group_columns, has_duplicates
 from tallymark.operators.profile import percent
 from tallymark.operators.schema import common_columns
+from tallymark.session import durable
 
-PAIRINGS = ("unique", "first", "occurrence")
+PAIRINGS = ("auto", "unique", "first", "occurrence")
 
 _IN_SOURCE, _IN_TARGET = "_in_source", "_in_target"
 _OCCURRENCE = "occurrence"
-# Hex digits of the content digest that spread one key's rows; 4 digits are 65,536 buckets.
-_BUCKET_DIGITS = 4
-# A key with more rows than this is numbered in parts.
-_ROWS_PER_KEY = 1_000_000
+_WEIGHT = "_weight"
 
 
 @dataclass(frozen=True)
 class PairedRows:
-    """Paired rows: the keys, ``_in_source``/``_in_target`` flags, and ``s_<i>``/``t_<i>`` cells."""
+    """Paired rows: the keys, ``_in_source``/``_in_target`` flags, and ``s_<i>``/``t_<i>`` cells.
+
+    With ``weighted``, a row stands for ``_weight`` equal pairs.
+    """
 
     df: DataFrame
     keys: list[str]
@@ -51,6 +54,7 @@ class PairedRows:
     target_types: list[T.DataType]
     null_mode: str = "safe"
     extra_keys: list[str] = field(default_factory=list)
+    weighted: bool = False
 
     def cells(self) -> list[tuple[str, Column, Column, Column]]:
         """``(name, source cell, target cell, differs)`` per compared column."""
@@ -64,6 +68,13 @@ class PairedRows:
     def key_columns(self) -> list[Column]:
         return [col(k) for k in [*self.keys, *self.extra_keys]]
 
+    def total(self, condition: Column | None = None) -> Column:
+        """Aggregate: the pairs, or those for which ``condition`` holds."""
+        if not self.weighted:
+            return F.count("*") if condition is None else F.count_if(condition)
+        weight = F.col(_WEIGHT) if condition is None else F.when(condition, F.col(_WEIGHT))
+        return F.coalesce(F.sum(weight), F.lit(0))
+
     @property
     def matched(self) -> Column:
         return F.col(_IN_SOURCE).isNotNull() & F.col(_IN_TARGET).isNotNull()
@@ -92,53 +103,67 @@ def first_match(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     )
 
 
-def number_occurrences(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Keys, ``columns`` and ``occurrence``: a 1-based number per key, the same in every run.
-
-    The order inside a key is (digest bucket of the row, compared columns). The rows of the most
-    frequent key are counted first. When they fit a task, one window per key numbers the rows;
-    otherwise the rows of a key are spread over many tasks, with the same numbers as result.
+def _pair_occurrences(source: DataFrame, target: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Weighted pairs: equal rows cancelled by count, the others by their number within the key."""
+    n = range(len(names))
+    forms = [common_forms(F.col(f"o_{i}"), F.col(f"o_{i}"), source.schema[c].dataType, target.schema[c].dataType) for i, c in enumerate(names)]
+    sides = {}
+    for side, df, prefix in (("s", source, 0), ("t", target, 1)):
+        raw = df.select(
+            *[k.alias(f"k_{i}") for i, k in enumerate(group_columns(df, keys))],
+            *[comparable(col(c), df.schema[c].dataType).alias(f"o_{i}") for i, c in enumerate(names)])
+        # The form in which cells are equal, with whether the target's could not be read at all.
+        cells = [
+            F.struct(f[prefix].alias("v"), (f[2] if prefix else F.lit(False)).alias("u")).alias(f"c_{i}") for i, f in enumerate(forms)]
+        formed = raw.select("*", *cells)
+        groups = [*[f"k_{i}" for i in range(len(keys))], *[f"c_{i}" for i in n]]
+        shown = F.min(F.struct(*[f"o_{i}" for i in n])) if names else F.lit(None)
+        sides[side] = formed.groupBy(*groups).agg(F.count("*").alias("n"), shown.alias("shown")), groups
+    (left, groups), (right, _) = sides["s"], sides["t"]
+    match = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups]
+    n_left, n_right = F.coalesce("l.n", F.lit(0)), F.coalesce("r.n", F.lit(0))
+    counted = durable(left.alias("l").join(right.alias("r"), match, "full_outer").select(
+        *[F.coalesce(f"l.{g}", f"r.{g}").alias(g) for g in groups],
+        F.col("l.shown").alias("s_shown"), F.col("r.shown").alias("t_shown"), n_left.alias("n_s"), n_right.alias("n_t")))
+
+    key_names = [f"k_{i}" for i in range(len(keys))]
+    both = F.least("n_s", "n_t")
+    flag = F.lit(1)
+    equal = counted.where(both > 0).select(
+        *key_names, F.lit(0).cast("long").alias(_OCCURRENCE), flag.alias(_IN_SOURCE), flag.alias(_IN_TARGET), both.cast("long").alias(_WEIGHT), "s_shown", "t_shown")
+    lone = {side: _number_left_over(counted.withColumn("n", F.col(f"n_{side}") - both).where("n > 0"), key_names, groups, f"{side}_shown") for side in "st"}
+    left, right = lone["s"].alias("l"), lone["t"].alias("r")
+    match = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in [*key_names, _OCCURRENCE]]
+    others = left.join(right, match, "full_outer").select(
+        *[F.coalesce(f"l.{g}", f"r.{g}").alias(g) for g in [*key_names, _OCCURRENCE]],
+        F.when(F.col(f"l.{_OCCURRENCE}").isNotNull(), flag).alias(_IN_SOURCE), F.when(F.col(f"r.{_OCCURRENCE}").isNotNull(), flag).alias(_IN_TARGET),
+        F.lit(1).cast("long").alias(_WEIGHT), F.col("l.s_shown").alias("s_shown"), F.col("r.t_shown").alias("t_shown"))
+    paired = equal.unionByName(others)
+    # Written once: statistics, differences and samples all read it.
+    return durable(paired.select(
+        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keys)], _OCCURRENCE, _IN_SOURCE, _IN_TARGET, _WEIGHT,
+        *[F.col(f"s_shown.o_{i}").alias(f"s_{i}") for i in n], *[F.col(f"t_shown.o_{i}").alias(f"t_{i}") for i in n]))
+
+
+def _number_left_over(rows: DataFrame, keys: Sequence[str], order: Sequence[str], shown: str) -> DataFrame:
+    """One row per copy with its 1-based number within the key, in the order of ``order`` (nulls first).
+
+    Rows are dealt out by range over key and cells and numbered within each part of a key; the parts' sums, a row per key
+    and part, shift them. So a frequent key is spread like any other, and every size takes this path.
     """
-    rows = df.select(
-        *group_columns(df, keys),
-        *[comparable(col(c), df.schema[c].dataType).alias(c) for c in columns],
-    )
-    text = F.concat_ws("|", *[cell_text(col(c), rows.schema[c].dataType) for c in columns])
-    bucket = F.substring(F.md5(text), 1, _BUCKET_DIGITS)
-    key_cols = [col(k) for k in keys]
-    most = rows.groupBy(*key_cols).count().agg(F.max("count")).first()[0] or 0
-    if most > _ROWS_PER_KEY:
-        return _number_spread(rows, keys, columns, bucket)
-    in_key = Window.partitionBy(*key_cols).orderBy("_bucket", *[col(c).asc_nulls_first() for c in columns])
-    numbered = rows.withColumn("_bucket", bucket).withColumn(_OCCURRENCE, F.row_number().over(in_key).cast("long"))
-    return numbered.drop("_bucket")
-
-
-def _number_spread(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], bucket: Column) -> DataFrame:
-    """Equal rows are counted first and numbered as a range, each bucket is numbered on its own,
-    and a running sum over at most 65,536 bucket sizes per key shifts the buckets."""
-    key_cols = [col(k) for k in keys]
-    copies = rows.groupBy(*key_cols, *[col(c) for c in columns]).agg(F.count("*").alias("_n"))
-    copies = copies.withColumn("_bucket", bucket)
+    by = [F.col(c).asc_nulls_first() for c in order]
+    parts = durable(rows.select(*order, shown, "n").repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
     before = Window.unboundedPreceding, -1
-    order = [col(c).asc_nulls_first() for c in columns] or [F.col("_n")]
-    in_bucket = Window.partitionBy(*key_cols, "_bucket").orderBy(*order).rowsBetween(*before)
-    placed = copies.withColumn("_skip", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
-    sizes = copies.groupBy(*key_cols, "_bucket").agg(F.sum("_n").alias("_size"))
-    by_bucket = Window.partitionBy(*key_cols).orderBy("_bucket").rowsBetween(*before)
-    offsets = sizes.select(
-        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_size").over(by_bucket), F.lit(0)).alias("_offset"),
-    )
-    match = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    shifted = placed.join(offsets, [*match, F.col("_bucket") == F.col("_b")], "inner")
-    ranges = shifted.select(
-        *key_cols, *[col(c) for c in columns], (F.col("_offset") + F.col("_skip")).alias("_before"), "_n"
-    )
-    unrolled = unroll_copies(ranges, "_n", "_copy", [*keys, "_before"])
-    occurrence = (F.col("_before") + F.col("_copy")).alias(_OCCURRENCE)
-    return unrolled.select(*key_cols, *[col(c) for c in columns], occurrence)
+    inside = Window.partitionBy("part", *keys).orderBy(*by).rowsBetween(*before)
+    placed = parts.withColumn("_skip", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    sums = parts.groupBy("part", *keys).agg(F.sum("n").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(*before)
+    shifts = sums.select(
+        F.col("part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    match = [F.col("part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
+    ranges = placed.join(shifts, match).select(*keys, shown, "n", (F.col("_skip") + F.col("_shift")).alias("_before"))
+    unrolled = unroll_copies(ranges, "n", "_copy", [*keys, "_before"])
+    return unrolled.select(*keys, shown, (F.col("_before") + F.col("_copy")).alias(_OCCURRENCE))
 
 
 def pair_rows(
@@ -146,10 +171,14 @@ def pair_rows(
     target: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str] | None = None,
-    pairing: str = "unique",
+    pairing: str = "auto",
     null_mode: str = "safe",
+    checked: bool = False,
 ) -> PairedRows:
-    """Pair source and target rows by key; see the module text for ``pairing``."""
+    """Pair source and target rows by key; see the module text for ``pairing``.
+
+    ``checked`` says that the keys are known to be unique where ``unique`` is asked for.
+    """
     keys = list(keys)
     if not keys:
         raise ValueError("No suitable key columns found")
@@ -162,24 +191,22 @@ def pair_rows(
         if unknown:
             raise ValueError(f"columns not on both sides: {unknown}")
         names = list(columns)
+    if pairing in ("auto", "unique") and not checked:
+        repeated = has_duplicates(source, keys) or has_duplicates(target, keys)
+        if repeated and pairing == "unique":
+            raise ValueError(f"key {keys} repeats; name another pairing")
+        pairing = "first" if repeated else "unique"
     extra: list[str] = []
     if pairing == "first":
         paired = _pair_first(source, target, keys, names)
+    elif pairing == "occurrence":
+        paired, extra = _pair_occurrences(source, target, keys, names), [_OCCURRENCE]
     else:
-        if pairing == "occurrence":
-            source = number_occurrences(source, keys, names)
-            target = number_occurrences(target, keys, names)
-            extra = [_OCCURRENCE]
-        paired = _full_join(source, target, [*keys, *extra], names)
-    return PairedRows(
-        paired,
-        keys,
-        names,
-        [source.schema[c].dataType for c in names],
-        [target.schema[c].dataType for c in names],
-        null_mode,
-        extra,
-    )
+        paired = _full_join(source, target, keys, names)
+    types = [
+        [comparable_type(df.schema[c].dataType) if pairing == "occurrence" else df.schema[c].dataType for c in names] for df in (source, target)
+    ]
+    return PairedRows(paired, keys, names, *types, null_mode, extra, pairing == "occurrence")
 
 
 def _side(df: DataFrame, keys: Sequence[str], names: Sequence[str], prefix: str, flag: str) -> DataFrame:
@@ -243,12 +270,12 @@ def column_stats(pairs: PairedRows) -> DataFrame:
             "target_null_count long, target_not_null_count long, pass_count long, pass_percentage double, status string"
         )
         return pairs.df.sparkSession.createDataFrame([], empty)
-    aggregates = [F.count("*").alias("total")]
+    aggregates = [pairs.total().alias("total")]
     for i, (_, s, t, differ) in enumerate(cells):
         aggregates += [
-            F.count_if(s.isNull()).alias(f"sn{i}"),
-            F.count_if(t.isNull()).alias(f"tn{i}"),
-            F.count_if(differ).alias(f"d{i}"),
+            pairs.total(s.isNull()).alias(f"sn{i}"),
+            pairs.total(t.isNull()).alias(f"tn{i}"),
+            pairs.total(differ).alias(f"d{i}"),
         ]
     entries = [
         F.struct(

@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
-from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.compare import comparable
+from tallymark.functions.compare import cell_text, comparable, exact_forms
 
-_SKETCH_ERROR = 0.02
-# Ten standard errors: a sketch this far off does not occur in practice, and every column
-# that passes the screen is still checked exactly.
-_SKETCH_MARGIN = 10 * _SKETCH_ERROR
-_SKETCHES_PER_PASS = 64
+_CANDIDATES_PER_PASS = 64
+_PROBED_ROWS = 1_000_000
 
 
 def col(name: str) -> Column:
@@ -38,45 +34,43 @@ def has_duplicates(df: DataFrame, keys: Sequence[str]) -> bool:
 def find_key(df: DataFrame, max_columns: int = 3) -> tuple[str, ...] | None:
     """First column, else first combination of up to ``max_columns``, that is unique and not null.
 
-    One pass counts rows and nulls and sketches distinct values. A column with nulls can be in
-    no key, and a combination whose distinct counts multiply to fewer than the rows cannot be
-    unique; whatever is left is sketched in batches and then checked exactly, in column order.
+    One pass counts rows and nulls; a column with nulls can be in no key. Columns and combinations are then checked in
+    order, exactly.
     """
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     if not names:
         return None
     profile = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(col(n).isNull()).alias(f"nulls_{i}") for i, n in enumerate(names)],
-        *[
-            F.approx_count_distinct(col(n), _SKETCH_ERROR).alias(f"distinct_{i}")
-            for i, n in enumerate(names)
-        ],
+        F.count("*").alias("rows"), *[F.count_if(col(n).isNull()).alias(f"nulls_{i}") for i, n in enumerate(names)]
     ).first()
     rows = profile["rows"]
-    distinct = {n: profile[f"distinct_{i}"] for i, n in enumerate(names) if profile[f"nulls_{i}"] == 0}
-    usable = list(distinct)
-    floor = rows * (1 - _SKETCH_MARGIN)
-    for name in usable:
-        if distinct[name] >= floor and not has_duplicates(df, [name]):
-            return (name,)
-    for width in range(2, min(max_columns, len(usable)) + 1):
-        candidates = [
-            c
-            for c in combinations(usable, width)
-            if prod(distinct[n] * (1 + _SKETCH_MARGIN) + 1 for n in c) >= rows
-        ]
-        for start in range(0, len(candidates), _SKETCHES_PER_PASS):
-            batch = candidates[start : start + _SKETCHES_PER_PASS]
-            sketches = df.agg(
-                *[
-                    F.approx_count_distinct(F.xxhash64(*[col(n) for n in c]), _SKETCH_ERROR).alias(f"d{i}")
-                    for i, c in enumerate(batch)
-                ]
-            ).first()
-            for i, candidate in enumerate(batch):
-                if sketches[f"d{i}"] >= floor and not has_duplicates(df, candidate):
-                    return candidate
+    usable = [n for i, n in enumerate(names) if profile[f"nulls_{i}"] == 0]
+    for width in range(1, min(max_columns, len(usable)) + 1):
+        found = _first_unique(df, list(combinations(usable, width)), rows)
+        if found:
+            return found
+    return None
+
+
+def _first_unique(df: DataFrame, candidates: list[tuple[str, ...]], rows: int) -> tuple[str, ...] | None:
+    """The first candidate without a repeated value.
+
+    A repeat among the rows of one hash range is proof against a candidate, and few others than keys have none there, so
+    ranges are searched first, many candidates in one pass; what has no repeat there is checked over all rows.
+    """
+    parts = max(1, rows // _PROBED_ROWS)
+    for start in range(0, len(candidates), _CANDIDATES_PER_PASS):
+        batch = candidates[start : start + _CANDIDATES_PER_PASS]
+        entries = []
+        for i, c in enumerate(batch):
+            values = [F.coalesce(cell_text(col(n), df.schema[n].dataType), F.lit("")) for n in c]
+            entries.append(F.struct(F.lit(i).alias("candidate"), F.array(*values).alias("values"), F.xxhash64(*group_columns(df, c)).alias("hash")))
+        probed = df.select(F.inline(F.array(*entries))).filter(F.pmod("hash", F.lit(parts)) == 0)
+        repeats = probed.groupBy("candidate", "hash", "values").count().filter("count > 1")
+        repeated = {r["candidate"] for r in repeats.select("candidate").distinct().collect()}
+        for i, candidate in enumerate(batch):
+            if i not in repeated and not has_duplicates(df, candidate):
+                return candidate
     return None
 
 
@@ -142,7 +136,7 @@ def classify_keys(
 def align_keys(
     source: DataFrame, target: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Give both sides one type per key: integers to long, other numbers to double, else text."""
+    """Give both sides one type per key: numbers without loss (see ``exact_forms``), all else as text."""
     for key in keys:
         for side, df in (("source", source), ("target", target)):
             if key not in df.columns:
@@ -150,14 +144,11 @@ def align_keys(
         left, right = source.schema[key].dataType, target.schema[key].dataType
         if left == right:
             continue
-        if isinstance(left, _INTEGRAL) and isinstance(right, _INTEGRAL):
-            common = "long"
-        elif isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
-            common = "double"
+        if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+            forms = exact_forms(col(key), col(key), left, right)
         else:
-            common = "string"
-        source = source.withColumn(key, col(key).cast(common))
-        target = target.withColumn(key, col(key).cast(common))
+            forms = (col(key).cast("string"),) * 2
+        source, target = source.withColumn(key, forms[0]), target.withColumn(key, forms[1])
     return source, target
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import logtext
 from tallymark.operators.keys import col
+from tallymark.session import broadcast_if_small, durable
 
 _LINES_PER_BLOCK = 100_000
 
@@ -133,10 +134,14 @@ def failure_reason(lines: DataFrame) -> DataFrame:
 def carry_forward(lines: DataFrame, value: Column, out: str) -> DataFrame:
     """Add ``out``: the last non-null ``value`` of the run up to and including each line.
 
-    Lines are cut into blocks by ``line_no``; a block is filled on its own, and its opening value
-    comes from a window over the blocks of the run, one row each.
+    Lines are cut into blocks by ``line_no``, as wide as the run's numbers are sparse; a block is filled on its own, and its
+    opening value comes from a window over the blocks of the run, one row each.
     """
-    blocks = lines.withColumn("_block", F.floor(F.col("line_no") / _LINES_PER_BLOCK)).withColumn("_value", value)
+    spread = lines.groupBy(F.col("run_id").alias("_run")).agg(
+        F.min("line_no").alias("_low"), F.ceil((F.max("line_no") - F.min("line_no") + 1) / F.count("*") * _LINES_PER_BLOCK).alias("_wide"))
+    spaced = lines.join(broadcast_if_small(durable(spread)), F.col("run_id").eqNullSafe(F.col("_run")))
+    block = F.floor((F.col("line_no") - F.col("_low")) / F.col("_wide"))
+    blocks = spaced.withColumn("_block", block).withColumn("_value", value).drop("_run", "_low", "_wide")
     last = blocks.groupBy(F.col("run_id").alias("_run"), F.col("_block").alias("_b")).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("line_no"))).alias("_last")
     )
@@ -153,9 +158,9 @@ def _test_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     line = F.col("line")
     starts = line.startswith("test_") & line.contains(" (") & line.endswith(" ... ")
     start = F.when(starts, F.struct(F.col("line_no").alias("no"), F.substring_index("line", " (", 1).alias("name")))
-    inside = carry_forward(lines, start, "_start").filter("_start IS NOT NULL AND line_no > _start.no").select(
+    inside = durable(carry_forward(lines, start, "_start").filter("_start IS NOT NULL AND line_no > _start.no").select(
         "run_id", "line_no", "line", F.col("_start.no").alias("start_no"), F.col("_start.name").alias("test_name")
-    )
+    ))
     word = (
         F.when(line.endswith(" ... ok"), "pass")
         .when(line.endswith(" ... FAIL"), "fail")
@@ -174,14 +179,16 @@ def _test_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     traces = line.startswith("Traceback")
     after = F.col("line_no") > F.col("_result_no")
     closing = inside.filter(ends | traces).select("run_id", "start_no", "line_no", "line")
-    found = (
-        verdicts.join(closing, same & after & F.col("_status").isin("fail", "error"), "left_outer")
-        .groupBy("_run", "_start_no", "_test", "_result_no", "_status")
+    bounds = (
+        closing.join(verdicts.filter("_status IN ('fail', 'error')"), same & after)
+        .groupBy(F.col("_run").alias("_b_run"), F.col("_start_no").alias("_b_start"))
         .agg(
             F.min(F.when(ends, F.col("line_no"))).alias("_end_no"),
             F.min(F.when(traces, F.col("line_no"))).alias("_trace_no"),
         )
     )
+    own = F.col("_run").eqNullSafe(F.col("_b_run")) & (F.col("_start_no") == F.col("_b_start"))
+    found = verdicts.join(bounds, own, "left_outer")
     finished = found.filter("_status IN ('pass', 'skipped') OR _end_no IS NOT NULL").select(
         "_run", "_start_no", "_test", "_status",
         F.when(F.col("_trace_no") <= F.col("_end_no"), F.col("_trace_no")).alias("_from_no"), "_end_no",

@@ -112,6 +112,17 @@ def _resolve(df: DataFrame, name: str) -> tuple[Column, T.DataType] | None:
     return F.col(name), dtype
 
 
+# The texts of rule messages.
+NO_COLUMN = "Column does not exist in dataframe"
+FOUND_TEXT = "Found %d {what} out of %d records"
+NULL_VALUES, NON_NULL_VALUES = "null values", "non-null values"
+NOT_NULL_RATIO, UNIQUENESS_RATIO = "Not null ratio", "Uniqueness ratio"
+BELOW_TEXT = "% is below threshold {least:.2%}"
+BAD_PATTERN, NO_MATCH = "Invalid regex pattern: {pattern}", "values not matching pattern {pattern}"
+BAD_EMAILS, OUT_OF_RANGE, FAILING = "invalid email addresses", "values out of range", "values failing {condition}"
+NO_PATTERN_NAME, NO_RULE = "Unknown pattern name: {pattern}", "Unknown rule: {kind}"
+
+
 @dataclass(frozen=True)
 class _Check:
     """How one rule is counted: ``violations`` of rows, or a ratio that must reach ``least``."""
@@ -129,29 +140,29 @@ def _plan_check(df: DataFrame, rule: Rule) -> _Check:
     found = _resolve(df, rule.column)
     if found is None:
         missing = Rule(rule.column, "column_exists")
-        return _Check(missing, fixed_status="FAIL", fixed_message="Column does not exist in dataframe")
+        return _Check(missing, fixed_status="FAIL", fixed_message=NO_COLUMN)
     value, dtype = found
     kind = rule.kind
     if kind == "not_null":
-        return _Check(rule, violations=value.isNull(), text="null values")
+        return _Check(rule, violations=value.isNull(), text=NULL_VALUES)
     if kind == "null":
-        return _Check(rule, violations=value.isNotNull(), text="non-null values")
+        return _Check(rule, violations=value.isNotNull(), text=NON_NULL_VALUES)
     if kind == "threshold":
         least = DEFAULT_NOT_NULL_RATIO if rule.threshold is None else rule.threshold
-        return _Check(rule, good=F.count(value), least=least, text="Not null ratio")
+        return _Check(rule, good=F.count(value), least=least, text=NOT_NULL_RATIO)
     if kind == "uniqueness":
         least = DEFAULT_UNIQUE_RATIO if rule.threshold is None else rule.threshold
-        return _Check(rule, good=F.count_distinct(F.struct(value)), least=least, text="Uniqueness ratio")
+        return _Check(rule, good=F.count_distinct(F.struct(value)), least=least, text=UNIQUENESS_RATIO)
     if kind == "regex":
         pattern = rule.pattern or ""
         if not valid_pattern(df.sparkSession, pattern):
-            return _Check(rule, fixed_status="FAIL", fixed_message=f"Invalid regex pattern: {pattern}")
-        text = f"values not matching pattern {pattern}"
+            return _Check(rule, fixed_status="FAIL", fixed_message=BAD_PATTERN.format(pattern=pattern))
+        text = NO_MATCH.format(pattern=pattern)
         return _Check(rule, violations=~value.cast("string").rlike(pattern), text=text)
     if kind == "pattern":
         if (rule.pattern or "").lower() == "email":
-            return _Check(rule, violations=~value.cast("string").rlike(EMAIL_PATTERN), text="invalid email addresses")
-        return _Check(rule, fixed_status="ERROR", fixed_message=f"Unknown pattern name: {rule.pattern}")
+            return _Check(rule, violations=~value.cast("string").rlike(EMAIL_PATTERN), text=BAD_EMAILS)
+        return _Check(rule, fixed_status="ERROR", fixed_message=NO_PATTERN_NAME.format(pattern=rule.pattern))
     if kind == "range" and (rule.minimum is not None or rule.maximum is not None):
         number = value if isinstance(dtype, T.NumericType) else value.try_cast("double")
         outside = F.lit(False)
@@ -161,11 +172,11 @@ def _plan_check(df: DataFrame, rule: Rule) -> _Check:
             outside = outside | (number > rule.maximum)
         if not isinstance(dtype, T.NumericType):
             outside = outside | (value.isNotNull() & number.isNull())
-        return _Check(rule, violations=outside, text="values out of range")
+        return _Check(rule, violations=outside, text=OUT_OF_RANGE)
     if kind == "custom" and rule.condition:
         name = rule.column if rule.column not in df.columns else f"`{rule.column}`"
-        return _Check(rule, violations=~F.expr(f"{name} {rule.condition}"), text=f"values failing {rule.condition}")
-    return _Check(rule, fixed_status="ERROR", fixed_message=f"Unknown rule: {kind}")
+        return _Check(rule, violations=~F.expr(f"{name} {rule.condition}"), text=FAILING.format(condition=rule.condition))
+    return _Check(rule, fixed_status="ERROR", fixed_message=NO_RULE.format(kind=kind))
 
 
 def evaluate_rules(df: DataFrame, rules: Any) -> DataFrame:
@@ -203,9 +214,7 @@ def _result(i: int, check: _Check) -> Column:
         violations = F.col(f"n{i}")
         failed = violations > 0
         status = F.when(failed, "FAIL").otherwise("PASS")
-        text = F.concat(
-            F.lit("Found "), violations.cast("string"), F.lit(f" {check.text} out of "), rows.cast("string"), F.lit(" records")
-        )
+        text = F.format_string(FOUND_TEXT.format(what=check.text.replace("%", "%%")), violations, rows)
         message = F.when(failed, text)
     else:
         ratio = F.when(rows > 0, F.col(f"n{i}") / rows)
@@ -213,7 +222,7 @@ def _result(i: int, check: _Check) -> Column:
         status = F.when(failed, "FAIL").otherwise("PASS")
         text = F.concat(
             F.lit(f"{check.text} "), F.round(ratio * 100, 2).cast("string"),
-            F.lit(f"% is below threshold {check.least:.2%}"),
+            F.lit(BELOW_TEXT.format(least=check.least)),
         )
         message = F.when(failed, text)
     return F.struct(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from typing import Any
 
@@ -11,12 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import diff, keys as key_ops, profile, rules as rule_ops, schema
+from tallymark.session import durable
 from tallymark.sources.readers import read_dataset
 
 VALIDATIONS = ("schema", "count", "data", "null", "duplicate")
 _PLURALS = {"nulls": "null", "duplicates": "duplicate"}
 _SUMMARY = ("position", "validation_type", "status", "details")
 
+# The texts of the summary.
+COUNTS_MATCH, COUNTS_DIFFER = "Counts match", "Source: %d, Target: %d"
+SCHEMAS_MATCH = "Schemas match"
+SCHEMAS_DIFFER = "Missing in Target: {missing_in_target}, Missing in Source: {missing_in_source}, Type Mismatches: {type_mismatch}"
+COLUMNS_TEXT = "Total Columns: %d, Failed Columns: %d"
+NO_NULLS, SOME_NULLS = "No null values found", "Columns with nulls: %d"
+NO_DUPLICATES, SOME_DUPLICATES = "No duplicates found", "Duplicate records: %d (%.2f%%)"
+RULES_PASSED, RULES_FAILED, NO_RULES = "All rules passed", "Failed Rules: %d", "No rule validation performed"
+ALL_PASSED, SOME_FAILED = "All validations passed", "Some validations failed"
+
 # The texts of the recommendations.
 FAILED_COLUMN_TEXT = "Column '%s' failed with %d mismatches — check data formatting or join logic."
 NULLS_TEXT = "Column '%s' has %.2f%% null values — verify if this is expected."
@@ -34,7 +45,9 @@ class Reconciliation:
 
     Three passes feed everything: one shuffle over the keys alone (counts, overlap, duplicates,
     and whether keys repeat), one join (column statistics), and one scan of the target (nulls),
-    plus one for rules. The small results are kept in memory until :meth:`release`.
+    plus one for rules. The small results are written to the checkpoint folder on first use, so they are computed once,
+    outlive executors, and hold no memory; :meth:`release` lets go of them. With ``write_pairs`` the joined rows
+    are written as well, and statistics, differences and samples share one join.
     """
 
     def __init__(
@@ -46,31 +59,26 @@ class Reconciliation:
         rules: Any = None,
         pairing: str = "auto",
         null_mode: str = "safe",
+        write_pairs: bool = False,
     ) -> None:
+        self._write_pairs = write_pairs
         self.source, self.target = source, target
         self.validations = normalise_validations(validations)
         self.rules = rule_ops.normalise_rules(rules)
         self.null_mode = null_mode
         self._pairing = pairing
         self._given_keys = list(keys) if keys else None
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        kept = df.persist()
-        self._kept.append(kept)
-        return kept
 
     def release(self) -> None:
-        """Free the small results kept in memory."""
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
+        """Let go of the results written so far; Spark removes their files if it was told to clean checkpoints."""
+        for name in ("_keys_and_totals", "pairs", "column_stats", "null_profile", "rule_results"):
+            self.__dict__.pop(name, None)
 
     @cached_property
     def _keys_and_totals(self) -> tuple[list[str], DataFrame, Mapping[str, int]]:
         given = self._given_keys
         if given and all(k in self.source.columns and k in self.target.columns for k in given):
-            overlap = self._keep(profile.overlap_summary(self.source, self.target, given))
+            overlap = durable(profile.overlap_summary(self.source, self.target, given))
             totals = overlap.first()
             # With a pairing named, repeated keys are expected and the given keys stand.
             if totals["target_unique"] == totals["target_count"] or self._pairing != "auto":
@@ -78,7 +86,7 @@ class Reconciliation:
         found = key_ops.find_key(self.target.select(*schema.common_columns(self.target, self.source)))
         if not found:
             raise ValueError("No suitable key columns found")
-        overlap = self._keep(profile.overlap_summary(self.source, self.target, found))
+        overlap = durable(profile.overlap_summary(self.source, self.target, found))
         return list(found), overlap, overlap.first()
 
     @property
@@ -98,19 +106,21 @@ class Reconciliation:
             totals = self._keys_and_totals[2]
             unique = all(totals[f"{s}_unique"] == totals[f"{s}_count"] for s in ("source", "target"))
             pairing = "unique" if unique else "first"
-        return diff.pair_rows(self.source, self.target, self.keys, pairing=pairing, null_mode=self.null_mode)
+        known = self._pairing == "auto"
+        pairs = diff.pair_rows(self.source, self.target, self.keys, pairing=pairing, null_mode=self.null_mode, checked=known)
+        return replace(pairs, df=durable(pairs.df)) if self._write_pairs else pairs
 
     @cached_property
     def column_stats(self) -> DataFrame:
-        return self._keep(diff.column_stats(self.pairs))
+        return durable(diff.column_stats(self.pairs))
 
     @cached_property
     def null_profile(self) -> DataFrame:
-        return self._keep(profile.null_profile(self.target))
+        return durable(profile.null_profile(self.target))
 
     @cached_property
     def rule_results(self) -> DataFrame:
-        return self._keep(rule_ops.evaluate_rules(self.target, self.rules))
+        return durable(rule_ops.evaluate_rules(self.target, self.rules))
 
     @property
     def schema_table(self) -> DataFrame:
@@ -156,11 +166,11 @@ class Reconciliation:
         if self.rules:
             parts.append(self._rule_row(len(rows), "Rule Validation"))
         else:
-            parts.append(self._not_run(len(rows), "Rule Validation", "No rule validation performed"))
+            parts.append(self._not_run(len(rows), "Rule Validation", NO_RULES))
         checks = parts[0]
         for part in parts[1:]:
             checks = checks.unionAll(part)
-        checks = self._keep(checks)
+        checks = durable(checks)
         return checks.unionAll(overall_status(checks, len(parts)))
 
     def _not_run(self, position: int, title: str, details: str) -> DataFrame:
@@ -168,43 +178,33 @@ class Reconciliation:
 
     def _count_row(self, position: int, title: str) -> DataFrame:
         same = F.col("source_count") == F.col("target_count")
-        text = F.concat(
-            F.lit("Source: "), F.col("source_count").cast("string"), F.lit(", Target: "), F.col("target_count").cast("string")
-        )
-        return self.overlap.select(*_row(position, title, _status(same), F.when(same, "Counts match").otherwise(text)))
+        text = F.format_string(COUNTS_DIFFER, "source_count", "target_count")
+        return self.overlap.select(*_row(position, title, _status(same), F.when(same, COUNTS_MATCH).otherwise(text)))
 
     def _schema_row(self, position: int, title: str) -> DataFrame:
         found = schema.schema_issue_counts(self.source, self.target)
         same = not any(found.values())
-        text = (
-            f"Missing in Target: {found['missing_in_target']}, Missing in Source: {found['missing_in_source']}, "
-            f"Type Mismatches: {found['type_mismatch']}"
-        )
-        row = _row(position, title, F.lit("PASS" if same else "FAIL"), F.lit("Schemas match" if same else text))
+        row = _row(position, title, F.lit("PASS" if same else "FAIL"), F.lit(SCHEMAS_MATCH if same else SCHEMAS_DIFFER.format(**found)))
         return self.source.sparkSession.range(1).select(*row)
 
     def _data_row(self, position: int, title: str) -> DataFrame:
         total, failed = F.count("*"), F.count_if(F.col("status") == "FAIL")
-        text = F.concat(F.lit("Total Columns: "), total.cast("string"), F.lit(", Failed Columns: "), failed.cast("string"))
+        text = F.format_string(COLUMNS_TEXT, total, failed)
         return self.column_stats.agg(*_row(position, title, _status(failed == 0), text))
 
     def _null_row(self, position: int, title: str) -> DataFrame:
         with_nulls = F.count_if(F.col("null_count") > 0)
-        text = F.concat(F.lit("Columns with nulls: "), with_nulls.cast("string"))
-        details = F.when(with_nulls == 0, "No null values found").otherwise(text)
+        details = F.when(with_nulls == 0, NO_NULLS).otherwise(F.format_string(SOME_NULLS, with_nulls))
         return self.null_profile.agg(*_row(position, title, _status(with_nulls == 0), details))
 
     def _duplicate_row(self, position: int, title: str) -> DataFrame:
         count, share = F.col("duplicate_count"), F.col("duplicate_percentage")
-        text = F.format_string("Duplicate records: %d (%.2f%%)", count, share)
-        details = F.when(count == 0, "No duplicates found").otherwise(text)
+        details = F.when(count == 0, NO_DUPLICATES).otherwise(F.format_string(SOME_DUPLICATES, count, share))
         return self.duplicate_profile.select(*_row(position, title, _status(count == 0), details))
 
     def _rule_row(self, position: int, title: str) -> DataFrame:
         failed = F.count_if(F.col("status") != "PASS")
-        details = F.when(failed == 0, "All rules passed").otherwise(
-            F.concat(F.lit("Failed Rules: "), failed.cast("string"))
-        )
+        details = F.when(failed == 0, RULES_PASSED).otherwise(F.format_string(RULES_FAILED, failed))
         return self.rule_results.agg(*_row(position, title, _status(failed == 0), details))
 
     @property
@@ -241,7 +241,7 @@ def _row(position: int, title: str, status: Column, details: Column) -> list[Col
 def overall_status(checks: DataFrame, position: int) -> DataFrame:
     """``FAIL`` if any check failed; checks that were not run do not count."""
     failed = F.coalesce(F.bool_or(F.col("status") == "FAIL"), F.lit(False))
-    details = F.when(failed, "Some validations failed").otherwise("All validations passed")
+    details = F.when(failed, SOME_FAILED).otherwise(ALL_PASSED)
     return checks.agg(*_row(position, "Overall Status", _status(~failed), details))
 
 
@@ -253,9 +253,10 @@ def reconcile(
     rules: Any = None,
     pairing: str = "auto",
     null_mode: str = "safe",
+    write_pairs: bool = False,
 ) -> Reconciliation:
     """Compare ``source`` with ``target``; see :class:`Reconciliation` for the results."""
-    return Reconciliation(source, target, keys, validations, rules, pairing, null_mode)
+    return Reconciliation(source, target, keys, validations, rules, pairing, null_mode, write_pairs)
 
 
 def compare_files(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -173,8 +174,7 @@ def convert(
         if c.kind not in CONVERSIONS:
             raise ValueError(f"unknown conversion '{c.kind}'")
         tables = CONVERSIONS[c.kind](spark, c)
-        for path in tables:
-            _refuse_overlap(c.input_path, path)
+        _refuse_overlap(spark, c.input_path, list(tables))
         for path, df in tables.items():
             rows = writers.write_delimited(df, path, c.delimiter, c.header, c.append)
             done.append({
@@ -186,10 +186,29 @@ def convert(
     return done
 
 
-def _refuse_overlap(source: str, target: str) -> None:
-    a, b = source.rstrip("/") + "/", target.rstrip("/") + "/"
-    if a.startswith(b) or b.startswith(a):
-        raise ValueError(f"refusing to write {target} over its own input {source}")
+def _places(spark: SparkSession, path: str) -> list[str]:
+    """What a path, relative, with ``..`` or a scheme or as a glob, stands for: qualified paths, and the folder a glob starts in."""
+    context = spark.sparkContext
+    given = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = given.getFileSystem(context._jsc.hadoopConfiguration())
+    qualified = system.makeQualified(given)
+    found = [qualified, *((f.getPath() for f in system.globStatus(qualified) or []))]
+    while re.search(r"[*?\[{]", found[0].toString()):
+        found[0] = found[0].getParent()
+    return [p.toString().rstrip("/") + "/" for p in found]
+
+
+def _refuse_overlap(spark: SparkSession, source: str, targets: Sequence[str]) -> None:
+    """No table may lie in, above or on the input, nor in, above or on another table."""
+    inputs = _places(spark, source)
+    written: list[str] = []
+    for target in targets:
+        (place, *_) = _places(spark, target)
+        if any(place.startswith(other) or other.startswith(place) for other in inputs):
+            raise ValueError(f"refusing to write {target} over its own input {source}")
+        if any(place.startswith(other) or other.startswith(place) for other in written):
+            raise ValueError(f"refusing to write {target} over another table of the conversion")
+        written.append(place)
 
 
 def convert_all(

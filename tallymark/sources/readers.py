@@ -123,12 +123,14 @@ def read_bigquery(spark: SparkSession, path: str | None = None, *, project_id: s
     return spark.read.format("bigquery").options(project=project_id, dataset=dataset, table=table).load()
 
 
-def jdbc_url(hostname: str, port: int | str, database: str) -> str:
-    """A SQL Server address that encrypts and trusts the server's certificate."""
-    return f"jdbc:sqlserver://{hostname}:{port};databaseName={database};encrypt=true;trustServerCertificate=true"
+# The SQL Server address, encrypted and trusting the server's certificate, and its driver.
+SQL_SERVER_URL = "jdbc:sqlserver://{hostname}:{port};databaseName={database};encrypt=true;trustServerCertificate=true"
+SQL_SERVER_DRIVER = "com.microsoft.sqlserver.jdbc.SQLServerDriver"
 
 
-SQL_SERVER_DRIVER = "com.microsoft.sqlserver.jdbc.SQLServerDriver"
+def jdbc_url(hostname: str, port: int | str, database: str) -> str:
+    """A SQL Server address that encrypts and trusts the server's certificate."""
+    return SQL_SERVER_URL.format(hostname=hostname, port=port, database=database)
 
 
 def jdbc_options(

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.operators import attribution as a
 
@@ -46,12 +47,28 @@ def _contains(message, name):
     return bool(message and name and name.lower() in message.lower())
 
 
-@pytest.fixture(params=["look-up", "sweep"])
-def path(request, monkeypatch):
-    if request.param == "sweep":
-        monkeypatch.setattr(a, "_BROADCAST_INTERVALS", 0)
-        monkeypatch.setattr(a, "_ROWS_PER_TASK", 20)
-    return request.param
+@pytest.fixture(params=["1", "8", "40"])
+def path(request, spark):
+    """So many range partitions that values are carried over several, or none."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_one_long_span_over_many_short_ones_and_a_burst(spark):
+    """Short spans win inside themselves only if they begin first; the long one is the earliest everywhere."""
+    n = 20_000
+    spans = spark.range(n).selectExpr(
+        "id AS span_id", "concat('n', id) AS name", "timestamp_seconds(1000000 + id * 100) AS start", "timestamp_seconds(1000010 + id * 100) AS end")
+    late = spans.withColumn("span_id", F.col("span_id") + n)
+    long_span = spark.sql(f"SELECT {2 * n}L AS span_id, 'long' AS name, timestamp_seconds(1500000) AS start, timestamp_seconds(9000000000) AS end")
+    events = spark.range(3000).selectExpr(
+        "id AS event_id", "timestamp_seconds(CASE WHEN id < 2000 THEN 1400005 ELSE 1000005 + id * 100 + 60 * (id % 2) END) AS ts", "string(null) AS name", "string(null) AS message")
+    got = {r.event_id: r.span_id for r in a.attribute_by_window(events, late.unionByName(long_span), buffer_seconds=0).collect()}
+    assert set(got[i] for i in range(2000)) == {n + 4000}
+    for i in range(2000, 3000):
+        assert got[i] == (n + i if i % 2 == 0 else None)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -1,5 +1,5 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,42 +105,99 @@ def _skewed(spark, seed, n=4000):
     return rows, spark.createDataFrame(rows, "k int, a int, b string")
 
 
-@pytest.fixture(params=["one window", "spread"])
-def numbering(request, monkeypatch):
-    if request.param == "spread":
-        monkeypatch.setattr(diff, "_ROWS_PER_KEY", 10)
-        monkeypatch.setattr("tallymark.operators.copies._COPIES_PER_CHUNK", 100)
+def _occurrence(source, target, keys=("k",)):
+    return diff.pair_rows(source, target, list(keys), pairing="occurrence")
 
 
-def test_spread_numbers_are_the_same(spark, monkeypatch):
-    _, df = _skewed(spark, 9)
-    plain = Counter(tuple(r) for r in diff.number_occurrences(df, ["k"], ["a", "b"]).collect())
-    monkeypatch.setattr(diff, "_ROWS_PER_KEY", 10)
-    assert Counter(tuple(r) for r in diff.number_occurrences(df, ["k"], ["a", "b"]).collect()) == plain
-
-
-def test_occurrence_numbers_are_complete(spark, numbering):
-    rows, df = _skewed(spark, 1)
-    found = diff.number_occurrences(df, ["k"], ["a", "b"]).collect()
-    assert Counter((r.k, r.a, r.b) for r in found) == Counter(rows)
-    numbers = defaultdict(list)
-    for r in found:
-        numbers[r.k].append(r.occurrence)
-    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in numbers.values())
-
-
-def test_occurrence_pairs_equal_sides_fully(spark, numbering):
-    _, df = _skewed(spark, 2)
-    assert diff.row_diff(diff.pair_rows(df, df.repartition(5), ["k"], pairing="occurrence")).count() == 0
-
-
-def test_occurrence_counts_against_brute_force(spark, numbering):
+def _brute_occurrence(left, right):
+    """Statuses and changed columns after equal rows of a key have cancelled each other."""
+    lone_left, lone_right = Counter(left) - Counter(right), Counter(right) - Counter(left)
+    order = lambda row: tuple((c is not None, c if c is not None else 0) for c in row[1:])
+    want = Counter()
+    for key in {r[0] for r in (*lone_left, *lone_right)}:
+        a = sorted((r for r in lone_left.elements() if r[0] == key), key=order)
+        b = sorted((r for r in lone_right.elements() if r[0] == key), key=order)
+        for n in range(max(len(a), len(b))):
+            if n >= len(b):
+                want[key, "missing_in_target", ()] += 1
+            elif n >= len(a):
+                want[key, "missing_in_source", ()] += 1
+            else:
+                want[key, "values_differ", tuple(c for c, x, y in zip("ab", a[n][1:], b[n][1:]) if x != y)] += 1
+    return want
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_occurrence_against_brute_force(spark, partitions):
     left, source = _skewed(spark, 3)
     right, target = _skewed(spark, 4)
-    found = Counter(r.status for r in diff.row_diff(diff.pair_rows(source, target, ["k"], pairing="occurrence")).collect())
-    ns, nt = Counter(r[0] for r in left), Counter(r[0] for r in right)
-    assert found["missing_in_target"] == sum(max(0, ns[k] - nt[k]) for k in ns)
-    assert found["missing_in_source"] == sum(max(0, nt[k] - ns[k]) for k in nt)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        pairs = _occurrence(source, target)
+        rows = diff.row_diff(pairs).collect()
+        stats = {r.column_name: r for r in diff.column_stats(pairs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = _brute_occurrence(left, right)
+    assert Counter((r.k, r.status, tuple(d.column for d in r.differences)) for r in rows) == want
+    matched = len(left) - sum(n for (_, status, _), n in want.items() if status == "missing_in_target")
+    for column in "ab":
+        changed = sum(n for (*_, names), n in want.items() if column in names)
+        assert (stats[column].total_records, stats[column].pass_count) == (matched, matched - changed)
+
+
+def test_occurrence_reports_what_changed_and_no_more(spark):
+    rows = [(1, n, float(n)) for n in range(40)]
+    schema = "k int, a int, b double"
+    df = spark.createDataFrame(rows, schema)
+    lost = diff.row_diff(_occurrence(df, df.where("a <> 11"))).collect()
+    assert [(r.status, r.k) for r in lost] == [("missing_in_target", 1)]
+    changed = diff.row_diff(_occurrence(df, df.withColumn("b", F.when(F.col("a") == 5, 99.0).otherwise(F.col("b"))))).collect()
+    assert [[(d.column, d.source_value, d.target_value) for d in r.differences] for r in changed] == [[("b", "5.0", "99.0")]]
+    assert diff.row_diff(_occurrence(df, df.withColumn("a", F.col("a").cast("double")))).count() == 0
+    assert diff.row_diff(_occurrence(df, df.repartition(5))).count() == 0
+
+
+def test_occurrence_with_odd_doubles(spark):
+    schema = "k int, v double"
+    source = spark.createDataFrame([(1, 0.0), (1, float("nan")), (1, None)], schema)
+    target = spark.createDataFrame([(1, -0.0), (1, float("nan")), (1, None)], schema)
+    assert diff.row_diff(_occurrence(source, target)).count() == 0
+
+
+def test_repeated_keys_are_noticed(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="repeats"):
+        diff.pair_rows(df, df, ["k"], pairing="unique")
+    assert diff.pair_rows(df, df, ["k"]).df.count() == 3
+
+
+BIG = 2**53
+
+
+@pytest.mark.parametrize(("left", "right", "same"), [
+    ("bigint", "decimal(20,0)", True), ("decimal(20,2)", "bigint", True), ("decimal(38,20)", "bigint", None),
+    ("bigint", "double", False), ("double", "bigint", False), ("decimal(20,0)", "double", False),
+])
+def test_numbers_of_different_types_are_compared_exactly(spark, left, right, same):
+    """2^53 and 2^53 + 1 are one double."""
+    values = [BIG, BIG + 1] if same is not None else [3, 4]
+    base = spark.createDataFrame([(v,) for v in values], "k long")
+    source, target = base.select(F.col("k").cast(left)), base.select(F.col("k").cast(right))
+    assert keys.shared_keys(source, target, ["k"]).count() == (1 if same is False else 2)
+    cells = base.withColumn("i", F.col("k") % 2)
+    a, b = cells.select("i", F.col("k").cast(left).alias("v")), cells.select("i", F.col("k").cast(right).alias("v"))
+    for pairing in ("unique", "occurrence"):
+        found = diff.column_stats(diff.pair_rows(a, b, ["i"], pairing=pairing)).first()
+        assert found.pass_count == (1 if same is False else 2)
+
+
+def test_floats_against_exact_numbers(spark):
+    source = spark.createDataFrame([(1, 1.5), (2, 2.0), (3, None), (4, float("nan")), (5, 1e300)], "k int, v double")
+    target = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 0), (5, 1)], "k int, v long")
+    rows = diff.row_diff(diff.pair_rows(source, target, ["k"])).collect()
+    assert sorted(r.k for r in rows) == [1, 4, 5]
 
 
 def test_first_match_against_brute_force(spark):

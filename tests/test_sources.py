@@ -210,3 +210,21 @@ def test_lines_with_odd_separator(spark, folder):
     path = folder("l.txt", "a\\E.b\\E.c\nx\n")
     rows = readers.read_delimited_lines(spark, path, ["p", "q", "r"], separator="\\E.")
     assert [tuple(r) for r in rows.collect()] == [("a", "b", "c"), ("x", None, None)]
+
+
+@pytest.mark.parametrize("output", ["{d}/in", "file:{d}/x/../in", "file://{d}/in/", "{d}/in/below", "{d}", "{r}/in"])
+@pytest.mark.parametrize("source", ["{d}/in", "{d}/in/", "{d}/i*", "file:{d}/y/../in/*.csv"])
+def test_an_input_is_never_lost(spark, tmp_path, source, output):
+    import os
+
+    names = {"d": str(tmp_path), "r": os.path.relpath(tmp_path)}
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.csv(f"{tmp_path}/in", header=True)
+    report = convert.convert(spark, {"kind": "csv_to_psv", "input_path": source.format(**names), "output_path": output.format(**names)})
+    assert [r["status"] for r in report] == ["error"]
+    assert spark.read.csv(f"{tmp_path}/in", header=True).count() == 2
+
+
+def test_a_conversion_beside_its_input_is_allowed(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id int, v string").write.csv(f"{tmp_path}/in", header=True)
+    report = convert.convert(spark, {"kind": "csv_to_psv", "input_path": f"{tmp_path}/in", "output_path": f"{tmp_path}/in_psv"})
+    assert [r["status"] for r in report] == ["success"]
