@@ -9,7 +9,7 @@ from tallymark.catalog import inputs
 from tallymark.operators import diff, keys, profile
 from tallymark.plans.reconcile import Comparison, compare_files as golden, reconcile, reconcile_many
 from tallymark.session import scratch_path
-from tallymark.sources.writers import write_delimited
+from tallymark.sources.writers import write_delimited, write_report
 
 _MATCHED_ORDERS = "matched AS (SELECT s.*, t.* RENAME (" + ", ".join(
     f"{c} AS t_{c}" for c in [*inputs.ORDER_KEY, *inputs.ORDER_COLUMNS]
@@ -139,6 +139,27 @@ def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.summary.select("validation_type", "status")
 
 
+def reconcile_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the summary."""
+    source, target = inputs.orders_pair(spark, sf_dir)
+    done = reconcile(source, target, inputs.ORDER_KEY, rules=_SUMMARY_RULES, write_pairs=True)
+    return done.summary.select("validation_type", "details")
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column statistics written as a report table and read again."""
+    source, target = inputs.orders_pair(spark, sf_dir)
+    done = reconcile(source, target, inputs.ORDER_KEY)
+    path = scratch_path(spark, "report")
+    write_report({"column_stats": done.column_stats, "nulls": done.null_profile}, path)
+    return spark.read.parquet(f"{path}/column_stats")
+
+
+def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = inputs.orders_pair(spark, sf_dir)
+    return reconcile(source, target, inputs.ORDER_KEY).recommendations.select("kind", "recommendation")
+
+
 def reconcile_discovered_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No key given and only two validations asked for."""
     source, target = inputs.orders_pair(spark, sf_dir)
@@ -355,6 +376,26 @@ SELECT unnest(['Count Validation', 'Schema Validation', 'Data Validation', 'Null
                'Rule Validation', 'Overall Status']) AS validation_type,
        unnest([c, 'PASS', d, n, u, r, CASE WHEN 'FAIL' IN (c, d, n, u, r) THEN 'FAIL' ELSE 'PASS' END]) AS status
 FROM words"""),
+    "reconcile_details": (reconcile_details, f"""{_WITH}, {_CELLS}, nulls AS ({_NULLS}),
+n AS (
+  SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM tgt) AS t, (SELECT count(DISTINCT column_name) FROM cells) AS c,
+         (SELECT count(*) FROM nulls WHERE null_count > 0) AS u, (SELECT count(*) FROM tgt) - (SELECT count(DISTINCT o_orderkey) FROM tgt) AS d,
+         (SELECT CAST(count(*) FILTER (o_orderpriority IS NULL) > 0 AS INT) + CAST(count(*) FILTER (o_totalprice < 0) > 0 AS INT) FROM tgt) AS r
+)
+SELECT unnest(['Count Validation', 'Schema Validation', 'Data Validation', 'Null Check', 'Duplicate Check',
+               'Rule Validation', 'Overall Status']) AS validation_type,
+       unnest([CASE WHEN s = t THEN 'Counts match' ELSE 'Source: ' || s || ', Target: ' || t END, 'Schemas match',
+               'Total Columns: 5, Failed Columns: ' || c, CASE WHEN u = 0 THEN 'No null values found' ELSE 'Columns with nulls: ' || u END,
+               CASE WHEN d = 0 THEN 'No duplicates found' ELSE 'Duplicate records: ' || d END,
+               CASE WHEN r = 0 THEN 'All rules passed' ELSE 'Failed Rules: ' || r END,
+               CASE WHEN s <> t OR c > 0 OR u > 0 OR d > 0 OR r > 0 THEN 'Some validations failed' ELSE 'All validations passed' END]) AS details
+FROM n"""),
+    "written_report": (written_report, f"{_WITH}, " + _stats_sql("matched", inputs.ORDER_COLUMNS, _DISTINCT)),
+    "recommendation_texts": (recommendation_texts, f"""{_WITH}, {_CELLS}, nulls AS ({_NULLS})
+SELECT 'column' AS kind, 'Column ' || chr(39) || column_name || chr(39) || ' failed with ' || count(*) || ' mismatches — check data formatting or join logic.' AS recommendation
+FROM cells GROUP BY column_name
+UNION ALL SELECT 'null', printf('Column %s%s%s has %.2f%% null values — verify if this is expected.', chr(39), column_name, chr(39), null_percentage)
+FROM nulls WHERE null_percentage > 0"""),
     "reconcile_discovered_key": (reconcile_discovered_key, f"""{_WITH}, {_CHECKS}
 SELECT unnest(['Count Validation', 'Schema Validation', 'Data Validation', 'Null Check', 'Duplicate Check',
                'Rule Validation', 'Overall Status']) AS validation_type,

@@ -49,10 +49,45 @@ def psv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "events-json")
-    inputs.table(spark, sf_dir, "events").drop("ts").write.json(path)
+    inputs.table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))).write.json(path)
     return readers.read_dataset(spark, "json", path)
 
 
+def json_multiline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as one JSON array per nation, each in a file of its own."""
+    customers = inputs.table(spark, sf_dir, "customer")
+    row = F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = scratch_path(spark, "customers-json")
+    customers.groupBy("c_nationkey").agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("c_nationkey").text(path)
+    return readers.read_dataset(spark, "json", path, multi_line=True)
+
+
+def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table of the catalog, its files in the shared folder."""
+    path = scratch_path(spark, "orders-table")
+    name = path.rpartition("/")[2].replace("-", "_")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS tallymark LOCATION '{path}-database'")
+    _orders(spark, sf_dir).write.option("path", path).saveAsTable(f"tallymark.{name}")
+    return readers.read_dataset(spark, "hive", database="tallymark", table=name)
+
+
+def appended_psv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversion twice, the second time appending."""
+    out = scratch_path(spark, "orders-psv")
+    for append in (False, True):
+        convert.convert(spark, convert.Conversion("csv_to_psv", _csv_of_orders(spark, sf_dir), out, append=append))
+    return readers.read_psv(spark, out)
+
+
+def conversion_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two conversions of one list, their input given once for both."""
+    outs = [scratch_path(spark, f"orders-{n}") for n in range(2)]
+    specs = [{"kind": "csv_to_psv", "input_path": "/nowhere", "output_path": out, "delimiter": d} for out, d in zip(outs, (",", ";"))]
+    report = convert.convert_all(spark, specs, input_path=_csv_of_orders(spark, sf_dir))
+    rows = [(r["conversion"], r["rows_processed"], r["output_format"], r["status"]) for r in report]
+    return spark.createDataFrame(rows, "conversion string, rows_processed long, output_format string, status string")
+
+
 def xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "parts-xml")
     inputs.table(spark, sf_dir, "part").write.option("rowTag", "part").xml(path)
@@ -142,9 +177,9 @@ def record_types_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delimited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws("~|~", "p_partkey", "p_name", "p_brand")
+    line = F.concat_ws("~|~", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     path = _lines_file(spark, inputs.table(spark, sf_dir, "part"), line, "parts-lines")
-    return readers.read_dataset(spark, "lines", path, fields=["p_partkey", "p_name", "p_brand", "p_note"], separator="~|~")
+    return readers.read_dataset(spark, "lines", path, fields=["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice", "p_note"], separator="~|~")
 
 
 _ORDER_RECORD = [
@@ -218,8 +253,8 @@ def json_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xml_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = scratch_path(spark, "parts-xml"), scratch_path(spark, "parts-csv")
-    inputs.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.option("rowTag", "part").xml(path)
-    params = {"row_tag": "part", "schema": "p_partkey long, p_name string, p_size int"}
+    inputs.table(spark, sf_dir, "part").write.option("rowTag", "part").xml(path)
+    params = {"row_tag": "part", "schema": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"}
     convert.convert(spark, convert.Conversion("xml_to_csv", path, out, params=params))
     return readers.read_csv(spark, out)
 
@@ -269,7 +304,12 @@ QUERIES = {
     "csv_scan_with_schema": (csv_scan_with_schema, "SELECT * REPLACE (nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders"),
     "csv_scan_inferred": (csv_scan_inferred, "SELECT conv_id, turn, role, text FROM conversations"),
     "psv_scan": (psv_scan, _ORDERS_TEXT),
-    "json_scan": (json_scan, "SELECT event_id, user_id, event_type, value, props FROM events"),
+    "json_scan": (json_scan, "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events"),
+    "json_multiline_scan": (json_multiline_scan, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey FROM customer"),
+    "table_scan": (table_scan, "SELECT * FROM orders"),
+    "appended_psv": (appended_psv, f"{_ORDERS_TEXT} UNION ALL {_ORDERS_TEXT}"),
+    "conversion_list": (conversion_list, """SELECT 'csv_to_psv' AS conversion, count(*) AS rows_processed, f AS output_format, 'success' AS status
+FROM orders, (SELECT unnest(['PSV', 'CSV']) AS f) GROUP BY f"""),
     "xml_scan": (xml_scan, "SELECT * FROM part"),
     "episodic_scan": (episodic_scan, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"),
     "parquet_scan": (parquet_scan, "SELECT * FROM lineitem"),
@@ -284,7 +324,8 @@ QUERIES = {
     "record_types_delimited": (record_types_delimited, """SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
        CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS note, c_name AS name
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""),
-    "delimited_lines": (delimited_lines, """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CAST(NULL AS VARCHAR) AS p_note FROM part"""),
+    "delimited_lines": (delimited_lines, """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type,
+       CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice, CAST(NULL AS VARCHAR) AS p_note FROM part"""),
     "ebcdic_scan": (ebcdic_scan, """SELECT o_orderpriority, o_orderkey,
        CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
        CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS balance,
@@ -294,7 +335,8 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""),
     "csv_to_psv": (csv_to_psv, _ORDERS_TEXT),
     "json_to_csv": (json_to_csv, """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(unnest([value, value + 1]) AS VARCHAR) AS readings,
        event_type AS who_event_type, CAST(user_id AS VARCHAR) AS who_user_id FROM events"""),
-    "xml_to_csv": (xml_to_csv, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part"),
+    "xml_to_csv": (xml_to_csv, """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type,
+       CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part"""),
     "episodic_to_csv": (episodic_to_csv, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(unnest(range(len(parts))) AS VARCHAR) AS lines_item_line_no,
        CAST(unnest(list_transform(parts, lambda x: length(x))) AS VARCHAR) AS lines_item_n_chars FROM l"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ ORDER_RULES = [
 ]
 
 
+_TURN_COLUMNS = ["role", "conv_id", "turn", "text"]
+# The candidates in the order in which they are tried.
+_KEY_CASES = " ".join(
+    f"WHEN count(*) = count(DISTINCT ({', '.join(c)})) THEN '{','.join(c)}'" for n in (1, 2, 3) for c in combinations(_TURN_COLUMNS, n)
+)
+
+
 def _counts(results: DataFrame) -> DataFrame:
     return results.select("position", "column_name", "rule", "status", "violations", "total_count", "ratio")
 
@@ -59,9 +68,15 @@ def rule_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_verdict(rules.evaluate_rules(inputs.orders_pair(spark, sf_dir)[1], ORDER_RULES))
 
 
+def rule_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every rule that is not passed."""
+    found = rules.evaluate_rules(inputs.orders_pair(spark, sf_dir)[1], ORDER_RULES)
+    return found.where("message IS NOT NULL").select("position", "message")
+
+
 def find_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first key of the conversations, whose single columns all repeat."""
-    turns = inputs.table(spark, sf_dir, "conversations").select("role", "conv_id", "turn")
+    turns = inputs.table(spark, sf_dir, "conversations").select(*_TURN_COLUMNS)
     found = keys.find_key(turns) or ()
     return profile.duplicate_profile(turns, found).select(
         F.lit(",".join(found)).alias("key_columns"), "total_records", "duplicate_count"
@@ -176,9 +191,26 @@ SELECT 0 AS position, 'email' AS column_name, 'pattern' AS rule, CASE WHEN bad >
     "rule_verdict": (rule_verdict, f"""WITH {inputs.ORDERS_TARGET}, r AS ({_TARGET_RULES})
 SELECT CASE WHEN count(*) FILTER (status <> 'PASS') > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
        count(*) FILTER (status <> 'PASS') AS failed_rules FROM r"""),
-    "find_key": (find_key, """SELECT 'conv_id,turn' AS key_columns, count(*) AS total_records,
-       count(*) - (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)) AS duplicate_count
-FROM conversations"""),
+    "find_key": (find_key, f"""WITH k AS (SELECT count(*) AS n, CASE {_KEY_CASES} END AS key_columns FROM conversations)
+SELECT key_columns, n AS total_records, 0 AS duplicate_count FROM k"""),
+    "rule_messages": (rule_messages, f"""WITH {inputs.ORDERS_TARGET}, c AS (
+  SELECT count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS k, count(*) FILTER (o_orderpriority IS NULL) AS p,
+         count(*) FILTER (o_totalprice NOT BETWEEN 2000 AND 450000) AS r, count(*) FILTER (NOT o_totalprice > 1500) AS u,
+         count(*) FILTER (NOT regexp_matches(o_orderpriority, '^[0-9]-[A-Z]+$')) AS x,
+         count(DISTINCT o_custkey) AS d
+  FROM tgt), m AS (
+  SELECT unnest([1, 2, 3, 4, 5, 7, 9, 10, 11, 12, 13]) AS position, unnest([
+    CASE WHEN p > 0 THEN 'Found ' || p || ' null values out of ' || n || ' records' END,
+    CASE WHEN n > p THEN 'Found ' || (n - p) || ' non-null values out of ' || n || ' records' END,
+    CASE WHEN (n - p) / n < 0.999 THEN 'Not null ratio ' || round((n - p) / n * 100, 2) || '% is below threshold 99.90%' END,
+    CASE WHEN (n - p) / n < {rules.DEFAULT_NOT_NULL_RATIO} THEN 'Not null ratio ' || round((n - p) / n * 100, 2) || '% is below threshold {rules.DEFAULT_NOT_NULL_RATIO:.2%}' END,
+    CASE WHEN x > 0 THEN 'Found ' || x || ' values not matching pattern ^[0-9]-[A-Z]+$ out of ' || n || ' records' END,
+    'Invalid regex pattern: ([FOP',
+    CASE WHEN d / n < 0.5 THEN 'Uniqueness ratio ' || round(d / n * 100, 2) || '% is below threshold 50.00%' END,
+    CASE WHEN r > 0 THEN 'Found ' || r || ' values out of range out of ' || n || ' records' END,
+    CASE WHEN u > 0 THEN 'Found ' || u || ' values failing > 1500 out of ' || n || ' records' END,
+    'Column does not exist in dataframe', 'Unknown rule: checksum']) AS message FROM c)
+SELECT * FROM m WHERE message IS NOT NULL"""),
     "validate_keys": (validate_keys, """SELECT 'c_custkey' AS key_columns, false AS given_valid, count(*) AS total_records,
        count(*) - count(DISTINCT c_custkey) AS duplicate_count FROM customer"""),
     "classify_keys": (classify_keys, f"WITH {inputs.ORDERS_TARGET}, p AS (" + " UNION ALL ".join(

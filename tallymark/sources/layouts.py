@@ -98,9 +98,10 @@ def java_charsets(spark: SparkSession) -> Iterator[None]:
 
 
 def read_binary_records(spark: SparkSession, path: str, record_length: int) -> DataFrame:
-    """Fixed-length records as a binary column ``record``; splits fall on record borders."""
-    records = spark.sparkContext.binaryRecords(path, record_length)
-    return spark.createDataFrame(records.map(lambda r: (r,)), T.StructType([T.StructField("record", T.BinaryType())]))
+    """Fixed-length records as a binary column ``record``; splits fall on record borders and no record leaves the JVM."""
+    records = spark.sparkContext._jsc.sc().binaryRecords(path, record_length, spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark._jsparkSession.createDataset(records, spark.sparkContext._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(rows.toDF(), spark).toDF("record")
 
 
 def decode_records(records: DataFrame, fields: Sequence[Mapping[str, Any]], charset: str = "IBM1047") -> DataFrame:
