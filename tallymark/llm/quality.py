@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.arrow import map_blocks, row_blocks, text_columns
+from tallymark.session import durable
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -136,8 +137,9 @@ def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "
     size = 1 + CLASS_BINS + WORD_BINS
     counted = columns.mapInArrow(count, "lang string, counts array<long>")
     totals = [F.sum(F.col("counts")[n]).alias(f"c{n}") for n in range(size)]
-    per_language = counted.groupBy("lang").agg(*totals)
-    overall, languages = counted.agg(*totals).first(), per_language.orderBy(F.desc("c0"), "lang").limit(MAX_LANGUAGES).collect()
+    per_language = durable(counted.groupBy("lang").agg(*totals))
+    sums = [F.sum(f"c{n}").alias(f"c{n}") for n in range(size)]
+    overall, languages = per_language.agg(*sums).first(), per_language.orderBy(F.desc("c0"), "lang").limit(MAX_LANGUAGES).collect()
     split = lambda row: np.split(np.array([row[f"c{n}"] or 0 for n in range(1, size)]), [CLASS_BINS])
     return {"*": tuple(split(overall)), **{("lang", row["lang"]): tuple(split(row)) for row in languages}}
 
