@@ -227,3 +227,42 @@ def edit_prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield made
 
     return _dealt_by_id(text_columns(df, id_col, text_col)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def near_classes(df: DataFrame, min_likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, class_id, n_links``: the smallest doc_id reachable over links between alike prints.
+
+    Candidates share a band, eight samples in a row, at the same level; a print has bands at its own level and at the next
+    coarser one, where prints of the adjoining length meet it. Equal prints are one. A band's prints link to the first of
+    them, and a link counts if both prints' likeness is at least ``min_likeness``. Null and empty texts, whose prints
+    have no samples, are one class; a null doc_id takes part but names no class.
+    """
+    docs = durable(fingerprints(df, id_col, text_col).select("doc_id", "fingerprint"))
+    prints = docs.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+
+    def band(rows: list[tuple]) -> list[tuple]:
+        made = []
+        for (text,) in rows:
+            own = from_text(text)
+            for level in (own[0], own[0] + 1):
+                samples = at_level(own, level)
+                for n in range(0, len(samples) - BAND_SAMPLES + 1, BAND_SAMPLES):
+                    made.append((text, f"{level}.{n}." + _HEX[samples[n:n + BAND_SAMPLES]].tobytes().decode()))
+        return made
+
+    bands = map_blocks(prints.select("fingerprint"), band, "fingerprint string, band string")
+    firsts = bands.groupBy("band").agg(F.min("fingerprint").alias("first"))
+    pairs = bands.join(firsts, "band").where("fingerprint != first").select("fingerprint", "first").distinct()
+
+    @F.pandas_udf("double")
+    def alike(a, b):
+        return type(a)([likeness(from_text(x), from_text(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    links = durable(pairs.where(alike("fingerprint", "first") >= min_likeness))
+    roots = connected_components(links, "fingerprint", "first").withColumnsRenamed({"node": "fingerprint"})
+    degree = links.select(F.explode(F.array("fingerprint", "first")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
+    placed = prints.join(roots, "fingerprint", "left").join(degree, "fingerprint", "left").select(
+        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
+    by_print = placed.join(classes, "root").select("fingerprint", "class_id", "n_links")
+    return docs.join(by_print, "fingerprint").select("doc_id", "fingerprint", "class_id", "n_links")

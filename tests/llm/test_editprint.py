@@ -75,3 +75,17 @@ def test_odd_rows(spark, odd, nothing):
     check(spark.createDataFrame([(9, "only one")], "doc_id long, text string"), 1)
     assert editprint.edit_prints(odd).count() == odd.count() and editprint.edit_prints(nothing).count() == 0
     assert editprint.fingerprints(odd).count() == odd.count()
+
+
+def test_near_classes(documents, texts, odd, nothing):
+    rows = {r["doc_id"]: r for r in editprint.near_classes(documents).collect()}
+    ids = sorted(texts)
+    prints = dict(zip(ids, editprint.embed([texts[i] for i in ids]), strict=True))
+    near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1:] if editprint.likeness(prints[a], prints[b]) >= 0.8]
+    together = [rows[a]["class_id"] == rows[b]["class_id"] for a, b in near]
+    assert near and np.mean(together) >= 0.9
+    for i, r in rows.items():
+        assert r["class_id"] <= i and (r["class_id"] == i or any(i in pair for pair in near))
+    odd_rows = editprint.near_classes(odd).collect()
+    assert len(odd_rows) == odd.count() and {r["class_id"] for r in odd_rows if r["doc_id"] in (2, 3)} == {2}
+    assert editprint.near_classes(nothing).count() == 0
