@@ -83,6 +83,21 @@ def validate_keys(
     return find_key(df, max_columns), False
 
 
+def distinct_counts(df: DataFrame, values: Sequence[tuple[Column, T.DataType]]) -> DataFrame:
+    """``position, distinct_count``: the distinct values, null being one, of each of ``values`` (column, type).
+
+    Values of all columns are dealt out together by position and value, after a partial aggregate has left each once per
+    task; a row is not carried through the shuffle once per column as several exact distinct counts in one aggregate do.
+    """
+    entries = []
+    for i, (value, dtype) in enumerate(values):
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            value = F.when(value == 0, F.lit(0).cast(dtype)).otherwise(value)  # both zeros are one value
+        entries.append(F.struct(F.lit(i).alias("position"), cell_text(comparable(value, dtype), dtype).alias("value")))
+    once = df.select(F.inline(F.array(*entries))).groupBy("position", "value").agg(F.lit(1).alias("one"))
+    return once.groupBy("position").agg(F.count("*").alias("distinct_count"))
+
+
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
 
@@ -91,8 +106,7 @@ def classify_keys(
 ) -> DataFrame:
     """Primary, candidate or foreign key per column, from its unique and null ratios and type.
 
-    One aggregate; a null counts as one value in the unique ratio. Columns whose type can be
-    no key are not counted and get no class.
+    A null counts as one value in the unique ratio. Columns whose type can be no key are not counted and get no class.
     """
     keyable = {
         f.name: isinstance(f.dataType, (*_INTEGRAL, T.StringType))
@@ -100,23 +114,18 @@ def classify_keys(
         if isinstance(f.dataType, (*_INTEGRAL, T.StringType, T.DoubleType))
     }
     names = list(keyable)
-    counts = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(col(n).isNull()).alias(f"nulls_{i}") for i, n in enumerate(names)],
-        *[F.count_distinct(col(n)).alias(f"distinct_{i}") for i, n in enumerate(names)],
-    )
+    counts = df.agg(F.count("*").alias("rows"), *[F.count_if(col(n).isNull()).alias(f"nulls_{i}") for i, n in enumerate(names)])
     entries = F.array(
         *[
             F.struct(
-                F.lit(n).alias("column_name"),
-                F.lit(keyable[n]).alias("exact_type"),
-                (F.col(f"distinct_{i}") + (F.col(f"nulls_{i}") > 0).cast("int")).alias("distinct_count"),
-                F.col(f"nulls_{i}").alias("null_count"),
+                F.lit(i).alias("position"), F.lit(n).alias("column_name"), F.lit(keyable[n]).alias("exact_type"), F.col(f"nulls_{i}").alias("null_count")
             )
             for i, n in enumerate(names)
         ]
     )
-    profile = counts.filter("rows > 0").select("rows", F.inline(entries))
+    distinct = distinct_counts(df, [(col(n), df.schema[n].dataType) for n in names])
+    profile = counts.filter("rows > 0").select("rows", F.inline(entries)).join(distinct, "position") if names else counts.select(
+        F.lit(0).alias("position"), "rows", F.lit("").alias("column_name"), F.lit(False).alias("exact_type"), F.lit(0).alias("null_count"), F.lit(0).alias("distinct_count")).filter("1 = 0")
     unique = F.col("distinct_count") / F.col("rows")
     nulls = F.col("null_count") / F.col("rows")
     low_null = nulls <= null_threshold

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.operators.keys import distinct_counts
+
 # Fixed values.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 DEFAULT_NOT_NULL_RATIO = 0.95
@@ -130,6 +132,7 @@ class _Check:
     rule: Rule
     violations: Column | None = None
     good: Column | None = None
+    distinct: tuple[Column, T.DataType] | None = None
     least: float | None = None
     text: str = ""
     fixed_status: str | None = None
@@ -152,7 +155,7 @@ def _plan_check(df: DataFrame, rule: Rule) -> _Check:
         return _Check(rule, good=F.count(value), least=least, text=NOT_NULL_RATIO)
     if kind == "uniqueness":
         least = DEFAULT_UNIQUE_RATIO if rule.threshold is None else rule.threshold
-        return _Check(rule, good=F.count_distinct(F.struct(value)), least=least, text=UNIQUENESS_RATIO)
+        return _Check(rule, distinct=(value, dtype), least=least, text=UNIQUENESS_RATIO)
     if kind == "regex":
         pattern = rule.pattern or ""
         if not valid_pattern(df.sparkSession, pattern):
@@ -182,7 +185,7 @@ def _plan_check(df: DataFrame, rule: Rule) -> _Check:
 def evaluate_rules(df: DataFrame, rules: Any) -> DataFrame:
     """One row per rule: status, violations or ratio, and a message for every rule not passed.
 
-    All rules share one aggregate over ``df``. A null never violates a value rule. An unknown
+    All rules share one aggregate over ``df``; uniqueness rules share a second pass. A null never violates a value rule. An unknown
     rule or pattern name gives status ``ERROR``.
     """
     checks = [_plan_check(df, r) for r in normalise_rules(rules)]
@@ -195,7 +198,14 @@ def evaluate_rules(df: DataFrame, rules: Any) -> DataFrame:
         elif check.good is not None:
             aggregates.append(check.good.alias(f"n{i}"))
     results = [_result(i, c) for i, c in enumerate(checks)]
-    return df.agg(*aggregates).select(F.inline(F.array(*results)))
+    counted = df.agg(*aggregates)
+    distinct = [(i, c.distinct) for i, c in enumerate(checks) if c.distinct is not None]
+    if distinct:
+        found = distinct_counts(df, [d for _, d in distinct])
+        # One row on either side.
+        wide = found.agg(*[F.max(F.when(F.col("position") == n, F.col("distinct_count"))).alias(f"n{i}") for n, (i, _) in enumerate(distinct)])
+        counted = counted.withColumn("_one", F.lit(1)).join(wide.withColumn("_one", F.lit(1)), "_one")
+    return counted.select(F.inline(F.array(*results)))
 
 
 _RESULT = (
