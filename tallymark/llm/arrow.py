@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _ROWS = 1024
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 
 
 def text_columns(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -22,26 +22,29 @@ def text_columns(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Da
     )
 
 
-def row_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows as tuples in blocks of at most 1,024 rows and, unless one row is larger, 4 MB, so that few texts are held twice."""
+def row_blocks(batches: Iterable[pa.RecordBatch], size: int = _BYTES) -> Iterator[list[tuple]]:
+    """Rows as tuples in blocks of at most 1,024 rows and, unless one row is larger, ``size`` bytes, so that few texts are held twice."""
     for batch in batches:
-        step = max(1, min(_ROWS, _BYTES * batch.num_rows // max(1, batch.nbytes)))
+        step = max(1, min(_ROWS, size * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             columns = [part.column(i).to_pylist() for i in range(part.num_columns)]
             yield list(zip(*columns, strict=True))
 
 
-def map_blocks(df: DataFrame, block: Callable[[list[tuple]], Sequence[Sequence]], schema: str) -> DataFrame:
-    """The rows that ``block`` makes of blocks of rows, through Arrow."""
+def map_blocks(df: DataFrame, block: Callable[[list[tuple]], Sequence[Sequence]], schema: str, done: Callable[[], None] | None = None,
+               size: int = _BYTES) -> DataFrame:
+    """The rows that ``block`` makes of blocks of rows, through Arrow. ``done`` is called at the end of each task."""
     kind = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(kind)
-        for rows in row_blocks(batches):
+        for rows in row_blocks(batches, size):
             yield rows_to_batch(block(rows), kinds)
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, kind)
 

@@ -14,6 +14,7 @@ import functools
 import hashlib
 import struct
 from collections.abc import Callable, Iterable, Sequence
+from itertools import islice
 
 import numpy as np
 import regex
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.llm.arrow import map_blocks, text_columns
 
-_REMEMBERED = 250_000
+_REMEMBERED = 100_000
+_KEPT = 20_000
 _LONGEST_REMEMBERED = 64
 _ID_BITS = 18
 _U4 = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -185,6 +187,11 @@ class BytePairEncoder:
         return [_U4[len(ids)](*ids) if len(ids := next(merged) if known is None else [known]) < len(_U4) else np.array(ids, "<u4").tobytes()
                 for known in whole]
 
+    def trim(self) -> None:
+        """Give back most of what is remembered; called between tasks, as idle workers keep their memory."""
+        self.pieces.trim()
+        self.words.trim()
+
     def decode(self, ids: bytes | Iterable[int]) -> bytes:
         values = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
         return b"".join(map(self.tokens.__getitem__, values))
@@ -199,6 +206,10 @@ class Memory:
     def __init__(self, most: int = _REMEMBERED) -> None:
         self.most, self.known, self.older = most, {}, {}
 
+    def trim(self, keep: int = _KEPT) -> None:
+        """Keep the keys that came first, which the most frequent ones are among."""
+        self.known, self.older = dict(islice(self.known.items(), keep)), {}
+
     def ready(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
         """A mapping that holds all ``keys``; valid until the next call."""
         if len(self.known) > self.most:
@@ -239,7 +250,7 @@ def encode_documents(df: DataFrame, rank_path: str, pattern: str, id_col: str =
         ids = encoder(ranks.value, pattern).encode([text for _, text in rows])
         return [(doc_id, np.frombuffer(own, "<u4").astype("i4")) for (doc_id, _), own in zip(rows, ids, strict=True)]
 
-    return map_blocks(text_columns(df, id_col, text_col), block, "doc_id long, ids array<int>")
+    return map_blocks(text_columns(df, id_col, text_col), block, "doc_id long, ids array<int>", lambda: encoder(ranks.value, pattern).trim())
 
 
 def decode_documents(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -269,4 +280,4 @@ def encoding_digests(df: DataFrame, rank_path: str, pattern: str, id_col: str =
         ]
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_blocks(text_columns(df, id_col, text_col), block, schema)
+    return map_blocks(text_columns(df, id_col, text_col), block, schema, lambda: encoder(ranks.value, pattern).trim())

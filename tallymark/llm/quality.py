@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,8 +179,14 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """The rows of ``df`` that the verdict keeps, with all their columns; one pass for references, one to filter."""
     references = language_references(df, text_col, lang_col)
 
-    @F.pandas_udf("boolean")
-    def kept(texts, langs):
-        return pd.Series([judge(text or "", lang, references)[-1] for text, lang in zip(texts, langs, strict=True)], dtype=bool)
+    names = df.columns
+    at, by = names.index(text_col), names.index(lang_col)
 
-    return df.where(kept(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")))
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts, langs = part.column(at).to_pylist(), part.column(by).cast(pa.string()).to_pylist()
+                yield part.filter(pa.array([judge(text or "", lang, references)[-1] for text, lang in zip(texts, langs, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)

@@ -110,6 +110,8 @@ class WordTokenizer:
 _WORDS_AT_ONCE = 500
 _LETTERS = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
 _REMEMBERED = 400_000
+_KEPT = 100_000
+_BLOCK_BYTES = 4 << 20
 _NOT_PLAIN = re.compile(r"[^\x00-\x7f\xc0-\xff]")
 _MARKS_AFTER_LETTER = re.compile(r"(?<=[a-z\xe0-\xf6\xf8-\xff])([.,;:!?#$%&*|]+)(?= |\Z)")
 
@@ -149,7 +151,7 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id
         ids = _word_tokenizer(model.value).encode([text for _, text in rows])
         return [(frame(doc_id, own + end),) for (doc_id, _), own in zip(rows, ids, strict=True)]
 
-    map_blocks(ordered, block, "record binary").select(F.col("record").cast("string")).write.text(path)
+    map_blocks(ordered, block, "record binary", lambda: _word_tokenizer(model.value).pieces.trim(_KEPT), _BLOCK_BYTES).select(F.col("record").cast("string")).write.text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
