@@ -95,9 +95,12 @@ def source_plan(tokens: DataFrame, budget: int | None = None, target_entropy: fl
     """
     totals = durable(source_totals(tokens))
     weights = weighted(totals, temperature(totals, target_entropy, max_repetition))
-    if budget is None:
+    whole = budget is None
+    if whole:
         budget = weights.where("weight > 0").agg(F.max(F.ceil(F.col("tokens") / F.col("weight")))).first()[0] or 0
     wanted = weights.withColumn("wanted", F.ceil(F.round(F.col("weight") * F.lit(budget), 3)).cast("long"))
+    if whole:  # a weight may be too small for its nine decimals
+        wanted = wanted.withColumn("wanted", F.greatest("wanted", "tokens"))
     passes = F.coalesce(F.expr("try_divide(wanted - wanted % tokens, tokens)"), F.lit(1)).cast("long")
     sources = durable(wanted.withColumn("passes", passes).withColumn("rest", F.col("wanted") - F.col("passes") * F.col("tokens")))
 

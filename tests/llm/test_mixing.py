@@ -87,3 +87,9 @@ def test_odd_rows(odd, nothing):
     assert len(got.collect()) == len(rows) and all(r["_copies"] >= 1 for r in got.collect())
     assert mixing.mixed_documents(odd.drop("_copies"), target_entropy=0.9).count() >= len(rows)
     assert mixing.mixed_documents(nothing.drop("_copies"), target_entropy=0.9).count() == 0
+
+
+def test_a_source_with_a_weight_below_nine_decimals_is_passed_once(spark):
+    tokens = spark.createDataFrame([("large", "aa", 10_000_000_000), ("tiny", "bb", 3), ("none", "cc", 0)], "source string, key string, n_tokens long")
+    plan = {r["source"]: r for r in mixing.source_plan(tokens).collect()}
+    assert plan["tiny"]["weight"] == 0 and {s: r["passes"] for s, r in plan.items()} == {"large": 1, "tiny": 1, "none": 1}
