@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, chat, classifier, editprint, licenses, manifest, mixing, quality, records, simhash, sql, substrings
+from tallymark.llm import bpe, chat, classifier, editprint, licenses, manifest, mixing, quality, records, repair, simhash, sql, substrings
 from tallymark.session import scratch_path
 
 
@@ -70,6 +70,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined_lines = F.when(F.expr("crc32(cast(doc_id as string)) % 2 = 0"), F.translate("text", "\n", "")).otherwise(F.col("text"))
     return manifest.manifest(_documents(spark, sf_dir), altered={"text": joined_lines})
@@ -86,5 +90,6 @@ QUERIES = {
     "op8_quality_resampling": (quality_resampling, None),
     "op9_source_mixing": (source_mixing, None),
     "op10_byte_bpe": (byte_bpe, None),
+    "op11_conversation_repair": (conversation_repair, None),
     "op12_merkle_manifest": (merkle_manifest, sql.MERKLE_MANIFEST),
 }
