@@ -62,14 +62,17 @@ _LEAST = [min(cost for arcs in by_state for letter, cost, _ in arcs if letter !=
 def prices(codes: list[int]) -> list[int]:
     """A price per node, ``4 * layer + state``: exact for every node on a cheapest way from an origin, a lower bound for others.
 
-    Before the auction a node costs what the rows behind it cost at least, each by itself, which no arc contradicts.
+    Before its auction a node costs what the rows up to the next settled layer cost at least, each by itself, and the least price there;
+    no arc contradicts that, and prices never have far to rise.
     """
     layers = [_ROW_ARCS[c] for c in codes] + [_END_ARCS]
     price = [0] * (4 * len(layers))
-    for n in reversed(range(len(codes))):
-        price[4 * n:4 * n + 4] = [price[4 * n + 4] + _LEAST[codes[n]]] * 4
     settled = len(price)  # nodes from here on have exact prices
     for start in [len(codes), *reversed(range(0, len(codes), SETTLED))]:
+        least = min(price[settled:settled + 4], default=0)
+        for n in reversed(range(start, settled // 4 if settled < len(price) else start)):
+            least += _LEAST[codes[n]]
+            price[4 * n:4 * n + 4] = [least] * 4
         for origin in range(4 * start, 4 * start + 4):
             path = [origin]
             while True:

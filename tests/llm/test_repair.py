@@ -65,7 +65,7 @@ def cheapest(rows):
             if role is None:
                 heapq.heappush(queue, (cost + price, audit + letter, to, shape, out))
             elif role and any(re.fullmatch("(s?(ua)+)?", shape + role[0] + rest) for rest in ("", "a", "ua")):
-                heapq.heappush(queue, (cost + price, audit + letter, to, (shape + role[0])[-3:] if len(shape) > 2 else shape + role[0], (*out, f"{role}:{text}")))
+                heapq.heappush(queue, (cost + price, audit + letter, to, shape + role[0], (*out, f"{role}:{text}")))
 
 
 def brute(rows):
