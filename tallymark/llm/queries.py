@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, chat, classifier, editprint, licenses, manifest, mixing, quality, records, repair, simhash, sql, substrings
+from tallymark.llm import bpe, chat, classifier, editprint, licenses, manifest, mixing, pii, quality, records, repair, simhash, sql, substrings
 from tallymark.session import scratch_path
 
 
@@ -79,6 +79,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_documents(spark, sf_dir), altered={"text": joined_lines})
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": (simhash_groups, None),
     "op2_chat_format": (chat_formatting, None),
@@ -92,4 +96,5 @@ QUERIES = {
     "op10_byte_bpe": (byte_bpe, None),
     "op11_conversation_repair": (conversation_repair, None),
     "op12_merkle_manifest": (merkle_manifest, sql.MERKLE_MANIFEST),
+    "op13_personal_data": (personal_data, None),
 }

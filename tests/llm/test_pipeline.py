@@ -55,4 +55,4 @@ def test_odd_documents_pass_all_stages(spark, odd, nothing):
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
