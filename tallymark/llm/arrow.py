@@ -22,6 +22,17 @@ def text_columns(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Da
     )
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many more underscores in front as it takes to differ from the columns of ``df`` in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_blocks(batches: Iterable[pa.RecordBatch], size: int = _BYTES) -> Iterator[list[tuple]]:
     """Rows as tuples in blocks of at most 1,024 rows and, unless one row is larger, ``size`` bytes, so that few texts are held twice."""
     for batch in batches:

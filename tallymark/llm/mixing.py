@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallymark.llm.arrow import free_names
 from tallymark.session import broadcast_if_small, durable
 
 GRID = 32
@@ -128,23 +129,28 @@ def source_plan(tokens: DataFrame, budget: int | None = None, target_entropy: fl
 
 def mix(df: DataFrame, budget: int | None = None, target_entropy: float | None = None, max_repetition: float | None = None,
         seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``df`` with ``_copies``: how often each is taken; rows may have 0.
+    """The rows of ``df`` with ``_weight`` of their source and ``_copies``: how often each is taken; rows may have 0.
+
+    Where ``df`` has columns of these names, the new ones have more underscores in front, and its own stay.
 
     The documents themselves are never shuffled: only ids, counts and keys are, and what comes back is one row
     per source. Rows of the same doc_id and source are taken alike. Null sources are a source; null ids share one key.
     """
+    own_source, passes, cut_key, weight, copied = free_names(df, "_source", "_passes", "_cut_key", "_weight", "_copies")
     source, key = F.col(f"`{source_col}`").cast("string"), draw_key(F.col(f"`{id_col}`"), seed)
     tokens = durable(df.select(source.alias("source"), key.alias("key"), token_count(F.col(f"`{text_col}`")).alias("n_tokens")))
     plan = source_plan(tokens, budget, target_entropy, max_repetition).select(
-        F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.col("cut_key").alias("_cut_key"), F.col("weight").alias("_weight"))
+        F.col("source").alias(own_source), F.col("passes").alias(passes), F.col("cut_key").alias(cut_key), F.col("weight").alias(weight))
     plan = broadcast_if_small(durable(plan))
-    joined = df.join(plan, source.eqNullSafe(F.col("_source")), "left")
-    copies = F.col("_passes") + F.coalesce((key <= F.col("_cut_key")).cast("long"), F.lit(0))
-    return joined.withColumn("_copies", copies).drop("_source", "_passes", "_cut_key")
+    joined = df.join(plan, source.eqNullSafe(F.col(own_source)), "left")
+    copies = F.col(passes) + F.coalesce((key <= F.col(cut_key)).cast("long"), F.lit(0))
+    return joined.withColumn(copied, copies).drop(own_source, passes, cut_key)
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` themselves, each as often as ``mix`` takes it, with the columns of ``df`` only."""
     mixed = mix(df, **options)
-    repeated = mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copied = F.col(mixed.columns[-1])
+    number, = free_names(mixed, "_copy")
+    repeated = mixed.where(copied > 0).withColumn(number, F.explode(F.sequence(F.lit(1), copied)))
     return repeated.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.arrow import map_blocks, text_columns
+from tallymark.llm.arrow import free_names, map_blocks, text_columns
 from tallymark.llm.components import connected_components
 from tallymark.session import durable
 
@@ -117,5 +117,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     the kept doc_id stay as well: they are one document.
     """
     dropped = near_duplicate_groups(df, id_col, text_col, shingle_words).where("doc_id != component_id")
-    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    return df.join(ids, F.col(f"`{id_col}`").cast("long") == F.col("_dropped"), "left_anti")
+    gone, = free_names(df, "_dropped")
+    ids = dropped.select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(ids, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
