@@ -1,4 +1,8 @@
+import random
+from itertools import combinations
+
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.operators import keys, rules, schema
 from tallymark.operators.rules import Rule, normalise_rules
@@ -80,6 +84,57 @@ def test_find_key_needs_three_columns(spark):
     assert keys.find_key(spark.createDataFrame(rows, "a int, b int, c int")) == ("a", "b", "c")
 
 
+def _first_key(rows, width, max_columns=3):
+    for k in range(1, max_columns + 1):
+        for c in combinations(range(width), k):
+            if all(r[i] is not None for r in rows for i in c) and len({tuple(r[i] for i in c) for r in rows}) == len(rows):
+                return tuple(f"c{i}" for i in c)
+    return None
+
+
+def _keyed(spark, rows, width):
+    return spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(width)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("sampled", [20_000, 7])
+def test_find_key_against_brute_force(spark, monkeypatch, seed, sampled):
+    """Samples that refute everything, and samples so small that the checks over all rows and their evidence decide."""
+    monkeypatch.setattr(keys, "_SAMPLED_ROWS", sampled)
+    monkeypatch.setattr(keys, "_SAMPLED_VALUES", 2)
+    rnd = random.Random(seed)
+    sizes = [rnd.choice([1, 2, 5, 9, 30, 60]) for _ in range(6)]
+    rows = [tuple(None if i == seed and rnd.random() < 0.01 else rnd.randrange(n) for i, n in enumerate(sizes)) for _ in range(40 + 10 * seed)]
+    if seed % 2:
+        rows.append(rows[0])
+    assert keys.find_key(_keyed(spark, rows, 6)) == _first_key(rows, 6)
+
+
+def test_find_key_of_forty_columns(spark):
+    """10,700 combinations, one column that repeats once only, a hot value in a third of the rows: a few passes."""
+    n, width = 9_000, 40
+    columns = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2 + i % 12)).cast("int").alias(f"c{i}") for i in range(width)]
+    columns[17] = F.when(F.col("id") % 3 == 0, 0).otherwise(F.floor(F.col("id") / 30) + 1).cast("int").alias("c17")
+    columns[25] = F.when(F.col("id") == n - 1, 0).otherwise(F.col("id")).cast("int").alias("c25")
+    columns[31] = (F.col("id") % 30).cast("int").alias("c31")
+    columns[38] = F.floor(F.col("id") / 30).cast("int").alias("c38")
+    df = spark.range(n).select(*columns)
+    rows = [tuple(r) for r in df.collect()]
+    spark.sparkContext.setJobGroup("forty", "forty")
+    assert keys.find_key(df) == _first_key(rows, width)
+    three = df.drop("c25", "c38")
+    assert keys.find_key(three) is None
+    spark.sparkContext.setJobGroup("after", "after")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("forty")) <= 40
+
+
+def test_find_key_of_repeated_rows_and_empty_tables(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 0, id) AS a", "if(id % 3 = 0, 0, id % 100) AS `b.c`")
+    assert keys.find_key(df) is None
+    assert keys.find_key(df.limit(0)) == ("a",)
+    assert keys.find_key(df.select()) is None
+
+
 def test_validate_keys(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x")], "id int, v string")
     assert keys.validate_keys(df, ["id"]) == (("id",), True)
