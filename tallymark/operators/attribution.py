@@ -7,14 +7,14 @@ match only has to deliver its earliest span per event, and no step emits all spa
 
 * equal name or id: the earliest span per value, one row per value, then an equi join;
 * time window: windows are cut into disjoint intervals that already name their winner;
-* name inside a message: an equi join on short substrings, checked in full.
+* name inside a message: an index of rare substrings, behind a bit table that drops the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.timeline import MICROS, micros, shift_seconds
@@ -27,7 +27,11 @@ MISSING_BOUND_SECONDS = 600
 # Fixed value: the start of a span that nothing is known about.
 OPEN_START = "2000-01-01 00:00:00"
 
-_GRAM = 4
+# The longest substring a name is filed under; a power of two.
+_GRAM = 16
+# Bits of the table of filed substrings: per name, and the bounds of its size as powers of two (1 MB at most).
+_BITS_PER_PATTERN = 16
+_MIN_TABLE, _MAX_TABLE = 12, 23
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -182,79 +186,113 @@ def with_window_match(
 # --- matches by name inside the message -------------------------------------------------
 
 
-def names_in_messages(events: DataFrame, names: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns of events and ``name``, for every name inside the message, whatever its case.
+def pattern_hits(events: DataFrame, patterns: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns of events beside the row of ``patterns``, for every ``low`` that is inside the lower-cased message.
 
-    Each name is filed under one of its four-letter substrings, the one that fewest names have.
-    A message is looked up by its own distinct substrings and every hit is checked in full.
-    Shorter names are filed and looked up by their whole length.
+    ``patterns`` has one row per distinct ``low`` (lower case, not empty); its other columns come along. Each pattern is filed
+    under one substring as long as the largest power of two that fits into it (16 at most): the one that fewest patterns
+    have. A message yields its substrings of these lengths, and a bit table over the filed ones, of bounded size, drops those
+    under which nothing is filed right where they arise; only what is left meets the patterns, and every hit is checked in full.
     """
-    wanted = durable(names.select("name").filter("name <> ''").distinct().withColumn("_low", F.lower("name")))
-    short = F.length("_low") < _GRAM
-    # At most three values: the lengths below the gram length.
-    lengths = sorted(r[0] for r in wanted.filter(short).select(F.length("_low")).distinct().collect())
-    grams = wanted.withColumn("_gram", F.explode(_grams(F.col("_low"), lengths)))
-    usable = grams.filter(~short | (F.col("_gram") == F.col("_low"))).filter(
-        short | (F.length("_gram") == _GRAM)
-    )
-    shared = usable.groupBy(F.col("_gram").alias("_shared_gram")).agg(F.count("*").alias("_users"))
-    filed = (
-        usable.join(shared, F.col("_gram") == F.col("_shared_gram"))
-        .groupBy(F.col("name").alias("_name"), "_low")
+    spark = events.sparkSession
+    sized = patterns.withColumn("_size", F.least(F.pow(F.lit(2), F.floor(F.log2(F.length("low")))), F.lit(_GRAM)).cast("int"))
+    pieces = sized.select("low", F.explode(F.array_distinct(_grams(F.col("low"), F.col("_size")))).alias("_gram"))
+    users = pieces.groupBy(F.col("_gram").alias("_used_gram")).agg(F.count("*").alias("_users"))
+    places = (
+        pieces.join(users, F.col("_gram") == F.col("_used_gram"))
+        .groupBy(F.col("low").alias("_low"))
         .agg(F.min_by("_gram", F.struct("_users", "_gram")).alias("_filed_gram"))
     )
-    looked = events.filter("message IS NOT NULL").select(
-        *[col(c) for c in keep], F.lower("message").alias("_text")
-    )
-    # Without a broadcast the substrings of every message would be shuffled.
-    hits = looked.withColumn("_gram", F.explode(_grams(F.col("_text"), lengths))).join(
-        broadcast_if_small(filed), (F.col("_gram") == F.col("_filed_gram")) & F.contains(F.col("_text"), F.col("_low"))
+    # Filed once: its size, the bit table and the join must see the same patterns.
+    filed = durable(patterns.join(places, F.col("low") == F.col("_low")).drop("_low"))
+    # At most five lengths: the powers of two up to the longest.
+    count, sizes = filed.agg(F.count("*"), F.array_sort(F.collect_set(F.length("_filed_gram")))).first()
+    text = F.lower("message").alias("_text")
+    looked = events.filter("message IS NOT NULL").select(*[col(c) for c in keep], text)
+    bits = 1 << min(max((_BITS_PER_PATTERN * count).bit_length(), _MIN_TABLE), _MAX_TABLE)
+    table = _bit_table(spark, filed.select(F.xxhash64("_filed_gram").alias("hash")), bits).scalar()
+    found = [_grams(F.col("_text"), F.lit(n)) for n in sizes] or [F.array().cast("array<string>")]
+    place = F.pmod(F.xxhash64("_gram"), F.lit(bits))
+    listed = F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+    possible = looked.withColumn("_gram", F.explode(F.array_distinct(F.concat(*found)))).filter(listed)
+    hits = possible.join(
+        broadcast_if_small(filed), (F.col("_gram") == F.col("_filed_gram")) & F.contains(F.col("_text"), F.col("low"))
     )
-    return hits.select(*[col(c) for c in keep], F.col("_name").alias("name"))
+    return hits.drop("_text", "_gram", "_filed_gram")
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """All substrings of ``size`` characters; the lookahead matches at every position, so this is one linear scan."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
 
 
-def _grams(text: Column, short_lengths: Sequence[int]) -> Column:
-    """Distinct substrings of the gram length, and of each short name length."""
+def _bit_table(spark: SparkSession, hashes: DataFrame, bits: int) -> DataFrame:
+    """One row: an array of ``bits / 64`` longs in which the bit of every ``hash`` is set."""
+    place = F.pmod("hash", F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(hash, {bits}) % 64 AS int))")
+    words = hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    every = spark.range(bits // 64).join(words, F.col("id") == F.col("word"), "left_outer")
+    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit"))))
+    return every.agg(F.transform(in_order, lambda w: w["bit"]).alias("table"))
 
-    # The lookahead matches at every position, so this is one linear scan per length.
-    pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in [_GRAM, *short_lengths]]
-    return F.array_distinct(F.concat(*pieces))
+
+def _patterns(names: DataFrame, *values: Column) -> DataFrame:
+    """One row per lower-cased ``name``, with aggregates over its spellings."""
+    low = F.lower("name").alias("low")
+    named = names.filter("name <> ''")
+    return named.groupBy(low).agg(*values) if values else named.select(low).distinct()
+
+
+def names_in_messages(events: DataFrame, names: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns of events and ``name``, for every name inside the message, whatever its case."""
+    spellings = names.select("name").filter("name <> ''").distinct().withColumn("_spelt", F.lower("name"))
+    hits = pattern_hits(events, _patterns(names), keep)
+    return hits.join(broadcast_if_small(spellings), F.col("low") == F.col("_spelt")).select(*[col(c) for c in keep], "name")
 
 
-def with_message_match(events: DataFrame, ranked: DataFrame, mentions: DataFrame, out: str) -> DataFrame:
+def mention_times(events: DataFrame, names: DataFrame) -> DataFrame:
+    """``low, first, last``: the first and last message that holds the lower-cased name; names in no message are left out.
+
+    Each task reduces its hits to one row per name before anything is shuffled.
+    """
+    hits = pattern_hits(events, _patterns(names), ["ts"])
+    return hits.groupBy("low").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def with_message_match(events: DataFrame, ranked: DataFrame, out: str) -> DataFrame:
     """Add ``out``: the rank of the earliest span whose name occurs in the event's message.
 
-    ``mentions`` is what :func:`names_in_messages` found, with ``event_id``.
+    Names are filed with their least rank, and each task reduces its hits to one row per event.
     """
-    first = ranked.groupBy(F.col("name").alias("_span_name")).agg(F.min("rank").alias("_rank"))
-    per_event = (
-        mentions.join(broadcast_if_small(first), F.col("name") == F.col("_span_name"))
-        .groupBy(F.col("event_id").alias("_hit_id"))
-        .agg(F.min("_rank").alias(out))
-    )
+    hits = pattern_hits(events, _patterns(ranked, F.min("rank").alias("_rank")), ["event_id"])
+    per_event = hits.groupBy(F.col("event_id").alias("_hit_id")).agg(F.min("_rank").alias(out))
     return events.join(per_event, F.col("event_id") == F.col("_hit_id"), "left_outer").drop("_hit_id")
 
 
 # --- operators --------------------------------------------------------------------------
 
 
-def repair_bounds(spans: DataFrame, events: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+def repair_bounds(spans: DataFrame, events: DataFrame) -> DataFrame:
     """Fill missing span bounds and add ``known_start``.
 
     A missing start is the first event with the span's name (as its own name or in its message),
     else ten minutes before the end, else open. A missing end is the last such event, else ten
-    minutes after the start. ``mentions`` are the names found in messages (``name``, ``ts``), when
-    they are known already.
+    minutes after the start. Only the names of spans without a bound are looked for.
     """
     incomplete = spans.filter("start IS NULL OR `end` IS NULL").select("name").filter("name IS NOT NULL").distinct()
-    if mentions is None:
-        mentions = names_in_messages(events, incomplete, ["ts"])
-    seen = (
+    wanted = durable(incomplete.withColumnRenamed("name", "_n").withColumn("_n_low", F.lower("_n")))
+    own = (
         events.select("name", "ts")
-        .unionAll(mentions.select("name", "ts"))
-        .join(broadcast_if_small(incomplete.withColumnRenamed("name", "_n")), F.col("name") == F.col("_n"), "left_semi")
+        .join(broadcast_if_small(wanted.select("_n")), F.col("name") == F.col("_n"), "left_semi")
+        .groupBy("name")
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    )
+    told = mention_times(events, wanted.select(F.col("_n").alias("name")))
+    told = told.join(wanted, F.col("low") == F.col("_n_low")).select(F.col("_n").alias("name"), "first", "last")
+    seen = (
+        own.unionByName(told)
         .groupBy(F.col("name").alias("_seen_name"))
-        .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+        .agg(F.min("first").alias("_first"), F.max("last").alias("_last"))
     )
     joined = spans.join(seen, F.col("name") == F.col("_seen_name"), "left_outer")
     ts_type = events.schema["ts"].dataType
@@ -316,12 +354,10 @@ def attribute_cascade(
     ways takes the event; ``match_kind`` is the first way, in that order, in which it matches.
     """
     spans = durable(spans)
-    # Both the repair and the message match read the mentions; finding them reads every message.
-    mentions = durable(names_in_messages(events, spans, ["event_id", "ts"]))
-    ranked = _ranked(repair_bounds(spans, events, mentions))
+    ranked = _ranked(repair_bounds(spans, events))
     found = with_value_match(events, ranked, "name", "name", "_name")
     found = with_window_match(found, ranked, buffer_seconds, "_time", time_range(events))
-    found = with_message_match(found, ranked, mentions, "_message")
+    found = with_message_match(found, ranked, "_message")
     winner = F.least("_name", "_time", "_message")
     kind = (
         F.when(winner.isNull(), "default")

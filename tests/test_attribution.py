@@ -183,3 +183,38 @@ def test_assigned_events_keep_their_span(spark):
     assert cascade == {1: ("9", "assigned"), 2: ("7", "time"), 3: ("default", "default")}
     by_ids = {r.event_id: (r.span_id, r.match_kind) for r in a.attribute_by_ids(events, spans, {"trace_id": "trace_id"}, assigned="had").collect()}
     assert by_ids[1] == ("9", "assigned") and by_ids[2] == ("9", "proximity") and by_ids[3][1] == "minute"
+
+
+def test_names_in_messages_of_all_lengths_and_spellings(spark):
+    rnd = random.Random(9)
+    letters = "abB_é"
+    names = ["".join(rnd.choices(letters, k=k)) for k in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 40) for _ in range(6)] + ["", None, "a.b", "\n("]
+    known = [n for n in names if n]
+    messages = [None, "", "a", "x" * 20_000 + known[-3].upper(), *known]
+    messages += [rnd.choice(known) + "".join(rnd.choices(letters, k=9)) + rnd.choice(known).lower() for _ in range(80)]
+    events = spark.createDataFrame(list(enumerate(messages)), "event_id long, message string")
+    found = a.names_in_messages(events, spark.createDataFrame([(n,) for n in names], "name string"), ["event_id"]).collect()
+    wanted = {(i, n) for i, m in enumerate(messages) for n in known if _contains(m, n)}
+    assert {(r.event_id, r.name) for r in found} == wanted and len(found) == len(wanted)
+    nobody = spark.createDataFrame([(None,)], "name string")
+    assert a.names_in_messages(events, nobody, ["event_id"]).count() == 0
+    assert a.mention_times(events.withColumn("ts", F.current_timestamp()).limit(0), nobody).count() == 0
+
+
+def test_a_hundred_thousand_names(spark):
+    """Names that share every four letters with many others; most messages name nobody and meet no pattern."""
+    n = 100_000
+    spans = spark.range(n).selectExpr(
+        "id AS span_id", "concat('Case_', lpad(id, 6, '0')) AS name", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS start", "CAST(null AS timestamp_ntz) AS end",
+        "CAST(null AS long) AS trace_id")
+    events = spark.range(20_000).selectExpr(
+        "id AS event_id", "CAST(timestamp_seconds(5000000 + id) AS timestamp_ntz) AS ts", "string(null) AS name",
+        "CASE WHEN id % 4 = 0 THEN concat('ran case_', lpad(id * 5, 6, '0'), ' and CASE_', lpad(id * 5 + 3, 6, '0')) ELSE 'case_ of nobody 0000' END AS message")
+    hits = a.pattern_hits(events, a._patterns(spans), ["event_id"])
+    assert hits.count() == 10_000
+    repaired = a.repair_bounds(spans, events)
+    told = {r.span_id: r.end for r in repaired.filter("end > timestamp_ntz'1970-02-20'").collect()}
+    assert told == {i * 5 + d: datetime(1970, 1, 1) + timedelta(seconds=5_000_000 + i) for i in range(0, 20_000, 4) for d in (0, 3)}
+    matched = a.with_message_match(events, spans.withColumn("rank", a.span_rank(F.col("start"), F.col("span_id"))), "hit")
+    got = {r.event_id: r.hit.span_id if r.hit else None for r in matched.collect()}
+    assert got == {i: i * 5 if i % 4 == 0 else None for i in range(20_000)}
