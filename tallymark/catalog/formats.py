@@ -43,6 +43,14 @@ def csv_scan_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
 
 
+def csv_multiline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, line breaks and quotes included, read back in byte ranges by a schema."""
+    path = scratch_path(spark, "documents-csv")
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    writers.write_delimited(documents, path, options={"escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False})
+    return readers.read_csv(spark, path, multi_line=True, escape='"', schema=documents.schema, options={"maxCharsPerColumn": -1})
+
+
 def psv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_dataset(spark, "psv", _csv_of_orders(spark, sf_dir, "|"))
 
@@ -53,13 +61,19 @@ def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_dataset(spark, "json", path)
 
 
+_ROWS_PER_ARRAY = 100_000
+
+
 def json_multiline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as one JSON array per nation, each in a file of its own."""
+    """Customers as JSON arrays of one nation each, in as many files as keep an array's expected rows below a bound."""
     customers = inputs.table(spark, sf_dir, "customer")
     row = F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     path = scratch_path(spark, "customers-json")
-    customers.groupBy("c_nationkey").agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("c_nationkey").text(path)
-    return readers.read_dataset(spark, "json", path, multi_line=True)
+    shares = 1 + customers.count() // _ROWS_PER_ARRAY
+    part = F.pmod(F.xxhash64("c_custkey"), F.lit(shares)).alias("part")
+    arrays = customers.groupBy("c_nationkey", part).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays.write.partitionBy("c_nationkey", "part").text(path)
+    return readers.read_dataset(spark, "json", path, multi_line=True).drop("part")
 
 
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +317,7 @@ QUERIES = {
     "csv_scan": (csv_scan, _ORDERS_TEXT),
     "csv_scan_with_schema": (csv_scan_with_schema, "SELECT * REPLACE (nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders"),
     "csv_scan_inferred": (csv_scan_inferred, "SELECT conv_id, turn, role, text FROM conversations"),
+    "csv_multiline_scan": (csv_multiline_scan, "SELECT doc_id, text, lang, source, n_chars FROM documents"),
     "psv_scan": (psv_scan, _ORDERS_TEXT),
     "json_scan": (json_scan, "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events"),
     "json_multiline_scan": (json_multiline_scan, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey FROM customer"),

@@ -101,7 +101,8 @@ def _anchor_samples(codes: DataFrame, distinct: Sequence[int], rows: int) -> Dat
     # A column of few values is thinned by rows only, so that its range is not empty.
     parts = [max(1, min(rows // _SAMPLED_ROWS, n // _SAMPLED_VALUES)) for n in distinct]
     in_range = [F.pmod(F.xxhash64(F.get("codes", F.lit(i))), F.lit(n)) == 0 for i, n in enumerate(parts)]
-    sizes = codes.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(in_range)]).first()
+    measured = rows > _SAMPLED_ROWS
+    sizes = codes.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(in_range)]).first() if measured else [rows] * len(distinct)
     thin = [max(1, -(-sizes[i] // _SAMPLED_ROWS)) for i in every]
     picked = [
         F.when(in_range[i] & (F.pmod(F.xxhash64("codes", F.lit(i)), F.lit(thin[i])) == 0), F.lit(i)) for i in every

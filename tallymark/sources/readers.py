@@ -8,10 +8,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tallymark.sources import layouts
+from tallymark.sources import layouts, quoted
 
 Schema = T.StructType | str | None
 
+# Options of CSV files that only Spark's own reader follows here, and those that a record's parser has no use for.
+_WHOLE_FILE_OPTIONS = {
+    "linesep", "comment", "mode", "columnnameofcorruptrecord", "encoding", "charset", "multiline", "header",
+    "pathglobfilter", "recursivefilelookup", "modifiedbefore", "modifiedafter",
+}
+_SCAN_OPTIONS = {"header", "encoding", "multiLine", "inferSchema"}
+
 
 def _reader(spark: SparkSession, options: Mapping[str, Any] | None, schema: Schema):
     reader = spark.read.options(**dict(options or {}))
@@ -34,14 +41,23 @@ def read_csv(
     multi_line: bool = False,
     options: Mapping[str, Any] | None = None,
 ) -> DataFrame:
-    """Delimited text. Without a schema every column is text, unless ``infer_schema``."""
+    """Delimited text. Without a schema every column is text, unless ``infer_schema``.
+
+    With ``multi_line``, files are read in byte ranges (see ``quoted``) unless their encoding is not UTF-8 or the options
+    name a line separator, a comment sign, a mode or a choice of files; those go to Spark's reader, a task per file.
+    """
     named = {
         "header": header, "delimiter": delimiter, "encoding": encoding, "quote": quote, "escape": escape,
         "multiLine": multi_line, "inferSchema": infer_schema and schema is None, "nullValue": null_value,
         "dateFormat": date_format, "timestampFormat": timestamp_format,
     }
     given = {k: v for k, v in named.items() if v is not None}
-    return _reader(spark, {**given, **(options or {})}, schema).csv(path)
+    given |= options or {}
+    whole = _reader(spark, given, schema).csv(path)
+    plain = encoding.lower() in ("utf-8", "utf8") and not {k.lower() for k in options or {}} & _WHOLE_FILE_OPTIONS
+    if not (multi_line and plain):
+        return whole
+    return quoted.read_quoted_csv(spark, path, whole.schema, {k: v for k, v in given.items() if k not in _SCAN_OPTIONS}, header)
 
 
 def read_psv(spark: SparkSession, path: str, **options: Any) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,45 @@ def test_a_conversion_beside_its_input_is_allowed(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id int, v string").write.csv(f"{tmp_path}/in", header=True)
     report = convert.convert(spark, {"kind": "csv_to_psv", "input_path": f"{tmp_path}/in", "output_path": f"{tmp_path}/in_psv"})
     assert [r["status"] for r in report] == ["success"]
+
+
+def _texts(rnd, n, length):
+    """Field texts with line ends, quotes and separators; some reach over several byte ranges."""
+    return ["".join(rnd.choices(["a", "é", "b", "\n", "\n\n", '"', ",", "\\", " x"], k=rnd.choice([0, 1, 3, 20, length]))) for _ in range(n)]
+
+
+def _quoted(text, escape):
+    return '"' + (text.replace('"', '""') if escape == '"' else text.replace("\\", "\\\\").replace('"', '\\"')) + '"'
+
+
+@pytest.mark.parametrize("escape", ['"', "\\"])
+@pytest.mark.parametrize("end", ["\n", ""])
+def test_multi_line_csv_in_byte_ranges(spark, folder, escape, end):
+    rnd = random.Random(len(end))
+    rows = [(str(i), t, f"n{i % 5}") for i, t in enumerate(_texts(rnd, 400, 3000))]
+    lines = ["id,text,last", "", *[f"{i},{_quoted(t, escape)},{last}" for i, t, last in rows[:200]], " ", *[f"{i},{_quoted(t, escape)},{last}" for i, t, last in rows[200:]]]
+    path = folder("quoted.csv", "\n".join(lines) + end)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        found = sorted((tuple(r) for r in readers.read_csv(spark, path, multi_line=True, escape=escape).collect()), key=str)
+        own = spark.read.csv(path, header=True, multiLine=True, escape=escape)
+        assert found == sorted((tuple(r) for r in own.collect()), key=str) and len(found) == len(rows) + 1
+        typed = readers.read_csv(spark, path, multi_line=True, escape=escape, schema="id long, text string, last string")
+        assert typed.agg(F.sum("id")).first()[0] == sum(range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_multi_line_csv_of_several_files(spark, tmp_path):
+    """Headers of all files go, partition columns stay, files without records or with line ends of two characters are read."""
+    for n, text in enumerate(['a,b\n1,"x\ny"\n', "a,b\n", 'a,b\r\n2,"p q"\r\n3,z\r\n', '"a",b\n4,"un""quoted"']):
+        (tmp_path / f"p={n % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"p={n % 2}" / f"{n}.csv").write_text(text, newline="")
+    found = readers.read_csv(spark, str(tmp_path), multi_line=True, escape='"').collect()
+    assert sorted((r.a, r.b, r.p) for r in found) == [("1", "x\ny", 0), ("2", "p q", 0), ("3", "z", 0), ("4", 'un"quoted', 1)]
+    bare = readers.read_csv(spark, str(tmp_path / "p=0"), multi_line=True, header=False, escape='"')
+    assert bare.count() == 5 and bare.columns == ["_c0", "_c1"]
