@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.session import broadcast_if_small
+from tallymark.session import broadcast_if_small, durable
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -37,8 +37,7 @@ def _ranges(lines: DataFrame) -> DataFrame:
     begins = (F.col("_open") == 0) | (F.col("_turn") < F.col("_high"))
     owner = F.last(F.when(begins, F.col("_range")), ignorenulls=True).over(in_file.rowsBetween(*_BEFORE))
     return opened.select(
-        F.col("_file").alias("_f"), F.col("_range").alias("_r"), "_low", "_open",
-        ((F.col("_open") + F.col("_turns")) % 2).alias("_left"), owner.alias("_owner"))
+        F.col("_file").alias("_f"), F.col("_range").alias("_r"), "_low", "_open", owner.alias("_owner"))
 
 
 def quoted_records(spark: SparkSession, path: str, quote: str = '"', escape: str = "\\") -> DataFrame:
@@ -52,7 +51,7 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"', escape: str
     lines = text.select(
         *[F.col(f"`{c}`") for c in kept], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_range"),
         F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_text"), _odd_quotes(F.col("value"), quote, escape).alias("_odd"))
-    ranges = _ranges(lines)
+    ranges = durable(_ranges(lines))
     placed = lines.join(broadcast_if_small(ranges), (F.col("_file") == F.col("_f")) & (F.col("_range") == F.col("_r")))
     in_range = Window.partitionBy("_file", "_range").orderBy("_line")
     inside = (F.col("_open") + F.coalesce(F.sum("_odd").over(in_range.rowsBetween(*_BEFORE)), F.lit(0))) % 2
@@ -60,11 +59,12 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"', escape: str
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_text"))), lambda p: p["_text"]), "\n")
     pieces = numbered.groupBy("_file", "_range", "_number").agg(
         whole.alias("_record"), (F.sum("_odd") % 2).alias("_turned"), F.min("_line").alias("_first_line"),
-        *[F.any_value(c).alias(c) for c in ("_low", "_left", "_owner")], *[F.any_value(F.col(f"`{c}`")).alias(c) for c in kept])
+        *[F.any_value(c).alias(c) for c in ("_low", "_owner")], *[F.any_value(F.col(f"`{c}`")).alias(c) for c in kept])
     first = (F.col("_range") == 0) & (F.col("_first_line") == F.col("_low")) & (F.col("_number") == 1)
     pieces = pieces.withColumn("_is_first", first)
-    # A record of this range stays open if its quotes don't pair; what comes first in a range may belong to one before.
-    crossing = (F.col("_number") == 0) | (F.col("_turned") == 1)
+    # A record of this range stays open if its quotes don't pair; what comes first in a range may belong to one before. Both
+    # branches below read the same columns, so that Spark shuffles the lines once for both.
+    crossing = ((F.col("_number") == 0) & F.col("_owner").isNotNull()) | (F.col("_turned") == 1)
     names = ["_record", "_is_first", *kept]
     complete = pieces.filter(~crossing)
     came = F.when(F.col("_number") == 0, F.col("_owner")).otherwise(F.col("_range"))
