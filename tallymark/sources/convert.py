@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tallymark.operators.copies import unroll_copies
 from tallymark.operators.keys import col
 from tallymark.operators.transforms import array_columns, explode_arrays, flatten_structs
+from tallymark.session import broadcast_if_small, durable
 from tallymark.sources import layouts, readers, writers
 
 
@@ -96,15 +97,21 @@ def _child_path(path: str, name: str) -> str:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Add a text id that is the same in every run: a digest of the row and its copy number.
 
-    Equal rows are counted by partial aggregation and unrolled in chunks, so a row that is
-    repeated very often is not numbered in one task.
+    The input is read once and its rows are written with their digests, so that every output made of the result starts from
+    there. Only digests are shuffled; a row whose digest is its own is number 1 where it lies. Repeated rows are counted by
+    partial aggregation and unrolled in chunks, so a row that is repeated very often is not numbered in one task.
     """
+    digest, copies, match = (stem + "_" * (1 + max((len(c) for c in df.columns), default=0)) for stem in ("digest", "copies", "match"))
     row = F.struct(*[col(c) for c in df.columns])
-    digest = F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("_digest")
-    counted = df.groupBy(digest).agg(F.any_value(row).alias("_row"), F.count("*").alias("_n"))
-    numbered = unroll_copies(counted, "_n", "_copy", ["_digest"])
+    written = durable(df.withColumn(digest, F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)))
+    counts = durable(written.groupBy(digest).agg(F.count("*").alias(copies)).filter(F.col(copies) > 1))
+    known = broadcast_if_small(counts.select(F.col(digest).alias(match)))
+    own = F.col(digest) == F.col(match)
+    single = written.join(known, own, "left_anti").select(*[col(c) for c in df.columns], F.concat(digest, F.lit("-1")).alias(name))
+    repeated = written.join(known, own, "left_semi").groupBy(F.col(digest).alias("_digest")).agg(F.any_value(row).alias("_row"), F.count("*").alias("_n"))
+    numbered = unroll_copies(repeated, "_n", "_copy", ["_digest"])
     row_id = F.concat("_digest", F.lit("-"), F.col("_copy").cast("string")).alias(name)
-    return numbered.select(*[F.col("_row")[c].alias(c) for c in df.columns], row_id)
+    return single.unionByName(numbered.select(*[F.col("_row")[c].alias(c) for c in df.columns], row_id))
 
 
 def split_episodes(df: DataFrame, episode_id: str = "episode_id") -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -271,3 +271,19 @@ def test_multi_line_csv_of_several_files(spark, tmp_path):
     assert sorted((r.a, r.b, r.p) for r in found) == [("1", "x\ny", 0), ("2", "p q", 0), ("3", "z", 0), ("4", 'un"quoted', 1)]
     bare = readers.read_csv(spark, str(tmp_path / "p=0"), multi_line=True, header=False, escape='"')
     assert bare.count() == 5 and bare.columns == ["_c0", "_c1"]
+
+
+def test_row_ids_number_copies_only(spark):
+    """Ids do not depend on the partitions, helper names do not clash, and only repeated rows have a number above 1."""
+    rows = spark.range(25_000).selectExpr(
+        "if(id % 4 = 0, -1, id) AS n", "if(id % 4 = 0 OR id = 7, null, array(id)) AS items", "'x' AS `_digest`", "'y' AS `_d`", "'z' AS `_copies`")
+    first = convert.with_row_id(rows, "rid")
+    again = {r.rid for r in convert.with_row_id(rows.repartition(5), "rid").collect()}
+    found = first.collect()
+    assert first.columns == [*rows.columns, "rid"] and {r.rid for r in found} == again and len(again) == 25_000
+    numbers = sorted(int(r.rid.split("-")[1]) for r in found if r.n == -1)
+    assert numbers == list(range(1, 6251)) and {r.rid.split("-")[1] for r in found if r.n != -1} == {"1"}
+    assert {(r._2, r._3, r._4) for r in first.select(F.col("n"), F.col("_digest").alias("_2"), F.col("_d").alias("_3"), F.col("_copies").alias("_4")).collect()} == {("x", "y", "z")}
+    parent, children = convert.split_episodes(rows, "rid")
+    assert parent.count() == 25_000 and children["items"].count() == 25_000 - 6250 - 1
+    assert convert.with_row_id(rows.limit(0), "rid").count() == 0
