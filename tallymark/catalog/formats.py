@@ -273,14 +273,14 @@ def xml_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, out)
 
 
-def _episodes(spark: SparkSession, sf_dir: str) -> str:
+def _episodes(spark: SparkSession, sf_dir: str, id_name: str = "episode_id") -> str:
     """Documents as JSON episodes with an array of their lines."""
     lines = F.transform(
         F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), F.length(line).alias("n_chars"))
     )
     path = scratch_path(spark, "episodes-json")
     documents = inputs.table(spark, sf_dir, "documents")
-    documents.select(F.col("doc_id").alias("episode_id"), "lang", lines.alias("lines")).write.json(path)
+    documents.select(F.col("doc_id").alias(id_name), "lang", lines.alias("lines")).write.json(path)
     return path
 
 
@@ -297,6 +297,16 @@ def episodic_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, out)
 
 
+def episodic_generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes without an id: the lines of the child table counted per parent, joined by the ids that were made for them."""
+    out = scratch_path(spark, "episodes-csv")
+    episodes = _episodes(spark, sf_dir, "doc_id")
+    convert.convert(spark, convert.Conversion("episodic_to_csv", episodes, out, params={"multi_line": False}))
+    lines = readers.read_csv(spark, f"{out}_lines_items").groupBy("episode_id").agg(F.count("*").alias("n_lines"))
+    parents = readers.read_csv(spark, out)
+    return parents.join(lines, "episode_id", "left_outer").select("doc_id", "lang", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
 def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a conversion reports, observed while it writes."""
     out = scratch_path(spark, "orders-psv")
@@ -355,6 +365,8 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""),
     "episodic_to_csv": (episodic_to_csv, """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS episode_id, CAST(unnest(range(len(parts))) AS VARCHAR) AS lines_item_line_no,
        CAST(unnest(list_transform(parts, lambda x: length(x))) AS VARCHAR) AS lines_item_n_chars FROM l"""),
+    "episodic_generated_ids": (episodic_generated_ids, """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, coalesce(len(string_split(text, chr(10))), 0) AS n_lines
+FROM documents"""),
     "episodic_parents": (episodic_parents, "SELECT CAST(doc_id AS VARCHAR) AS episode_id, lang FROM documents"),
     "conversion_report": (conversion_report, """SELECT 'csv_to_psv' AS conversion, count(*) AS rows_processed, CAST(6 AS BIGINT) AS columns_processed,
        'PSV' AS output_format, 'success' AS status FROM orders"""),
