@@ -9,8 +9,8 @@ Pairings, and how each holds up when one key has a third of all rows:
 * ``first`` - a repeated target key stands for its first row (smallest compared values, nulls
   first), and each source row meets that row. The target is reduced by a partial aggregate, and
   the joins are left outer and left anti, whose big left side adaptive execution can split.
-* ``occurrence`` - rows of a key that are equal on both sides cancel each other, by count; of what is
-  left, the n-th row in the order of the compared columns meets the n-th one on the other side. Equal rows
+* ``occurrence`` - rows of a key that are equal on both sides cancel each other, by count, and are not listed; of what
+  is left, the n-th row in the order of the compared columns meets the n-th one on the other side. Equal rows
   are never unrolled, and numbering deals rows out by key and value, so any key is spread.
 * ``auto`` - ``unique`` if no key repeats on either side, else ``first``.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.compare import cell_text, common_forms, comparable, comparable_type, differs, holds_map
+from tallymark.functions.compare import cell_text, common_forms, comparable, comparable_type, differs, holds_map, is_nested
 from tallymark.operators.copies import unroll_copies
 from tallymark.operators.keys import align_keys, col, group_columns, has_duplicates
 from tallymark.operators.profile import percent
@@ -37,14 +37,16 @@ PAIRINGS = ("auto", "unique", "first", "occurrence")
 
 _IN_SOURCE, _IN_TARGET = "_in_source", "_in_target"
 _OCCURRENCE = "occurrence"
-_WEIGHT = "_weight"
+# Float cells whose sign is kept in one long.
+_SIGN_BITS = 60
 
 
 @dataclass(frozen=True)
 class PairedRows:
     """Paired rows: the keys, ``_in_source``/``_in_target`` flags, and ``s_<i>``/``t_<i>`` cells.
 
-    With ``weighted``, a row stands for ``_weight`` equal pairs.
+    ``sides`` are the source and target of pairs that leave out equal rows: what of them is not here has an equal row on
+    the other side.
     """
 
     df: DataFrame
@@ -54,7 +56,7 @@ class PairedRows:
     target_types: list[T.DataType]
     null_mode: str = "safe"
     extra_keys: list[str] = field(default_factory=list)
-    weighted: bool = False
+    sides: tuple[DataFrame, DataFrame] | None = None
 
     def cells(self) -> list[tuple[str, Column, Column, Column]]:
         """``(name, source cell, target cell, differs)`` per compared column."""
@@ -68,13 +70,6 @@ class PairedRows:
     def key_columns(self) -> list[Column]:
         return [col(k) for k in [*self.keys, *self.extra_keys]]
 
-    def total(self, condition: Column | None = None) -> Column:
-        """Aggregate: the pairs, or those for which ``condition`` holds."""
-        if not self.weighted:
-            return F.count("*") if condition is None else F.count_if(condition)
-        weight = F.col(_WEIGHT) if condition is None else F.when(condition, F.col(_WEIGHT))
-        return F.coalesce(F.sum(weight), F.lit(0))
-
     @property
     def matched(self) -> Column:
         return F.col(_IN_SOURCE).isNotNull() & F.col(_IN_TARGET).isNotNull()
@@ -103,56 +98,78 @@ def first_match(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
     )
 
 
+def _float_signs(floats: Sequence[int]) -> Column:
+    """One bit per float cell that is -0.0, which grouping turns into 0.0."""
+    bits = [F.when((F.col(f"o_{i}") == 0) & F.col(f"o_{i}").cast("string").startswith("-"), 1 << bit).otherwise(0) for bit, i in enumerate(floats)]
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def _pair_occurrences(source: DataFrame, target: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Weighted pairs: equal rows cancelled by count, the others by their number within the key."""
+    """What is left after equal rows have cancelled each other by count, paired by its number within the key.
+
+    One aggregate over both sides counts the rows, so that each is shuffled once; rows that cancel are never written. A cell
+    that can be shown as it is grouped travels once, any other also as it was.
+    """
     n = range(len(names))
-    forms = [common_forms(F.col(f"o_{i}"), F.col(f"o_{i}"), source.schema[c].dataType, target.schema[c].dataType) for i, c in enumerate(names)]
-    sides = {}
-    for side, df, prefix in (("s", source, 0), ("t", target, 1)):
+    types = [(source.schema[c].dataType, target.schema[c].dataType) for c in names]
+    forms = [common_forms(F.col(f"o_{i}"), F.col(f"o_{i}"), *types[i]) for i in n]
+    real = (T.FloatType, T.DoubleType)
+    floats = [i for i in n if types[i][0] == types[i][1] and isinstance(types[i][0], real)][:_SIGN_BITS]
+    plain = [i for i in n if i in floats or types[i][0] == types[i][1] and not is_nested(types[i][0]) and not isinstance(types[i][0], real)]
+    carried = [i for i in n if i not in plain]
+    key_names, cell_names = [f"k_{i}" for i in range(len(keys))], [f"c_{i}" for i in n]
+    groups = [*key_names, *cell_names]
+    sides, kept = [], {"s": [], "t": []}
+    for at, (side, df) in enumerate((("s", source), ("t", target))):
         raw = df.select(
             *[k.alias(f"k_{i}") for i, k in enumerate(group_columns(df, keys))],
             *[comparable(col(c), df.schema[c].dataType).alias(f"o_{i}") for i, c in enumerate(names)])
         # The form in which cells are equal, with whether the target's could not be read at all.
         cells = [
-            F.struct(f[prefix].alias("v"), (f[2] if prefix else F.lit(False)).alias("u")).alias(f"c_{i}") for i, f in enumerate(forms)]
-        formed = raw.select("*", *cells)
-        groups = [*[f"k_{i}" for i in range(len(keys))], *[f"c_{i}" for i in n]]
-        shown = F.min(F.struct(*[f"o_{i}" for i in n])) if names else F.lit(None)
-        sides[side] = formed.groupBy(*groups).agg(F.count("*").alias("n"), shown.alias("shown")), groups
-    (left, groups), (right, _) = sides["s"], sides["t"]
-    match = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in groups]
-    n_left, n_right = F.coalesce("l.n", F.lit(0)), F.coalesce("r.n", F.lit(0))
-    counted = durable(left.alias("l").join(right.alias("r"), match, "full_outer").select(
-        *[F.coalesce(f"l.{g}", f"r.{g}").alias(g) for g in groups],
-        F.col("l.shown").alias("s_shown"), F.col("r.shown").alias("t_shown"), n_left.alias("n_s"), n_right.alias("n_t")))
-
-    key_names = [f"k_{i}" for i in range(len(keys))]
-    both = F.least("n_s", "n_t")
-    flag = F.lit(1)
-    equal = counted.where(both > 0).select(
-        *key_names, F.lit(0).cast("long").alias(_OCCURRENCE), flag.alias(_IN_SOURCE), flag.alias(_IN_TARGET), both.cast("long").alias(_WEIGHT), "s_shown", "t_shown")
-    lone = {side: _number_left_over(counted.withColumn("n", F.col(f"n_{side}") - both).where("n > 0"), key_names, groups, f"{side}_shown") for side in "st"}
+            (F.col(f"o_{i}") if i in plain else F.struct(f[at].alias("v"), (f[2] if at else F.lit(False)).alias("u"))).alias(f"c_{i}")
+            for i, f in enumerate(forms)]
+        own = {f"{side}_signs": _float_signs(floats)} if floats else {}
+        if carried:
+            own[f"{side}_shown"] = F.struct(*[f"o_{i}" for i in carried])
+        kept[side] = list(own)
+        counts = [F.lit(int(side == c)).cast("long").alias(f"n_{c}") for c in "st"]
+        sides.append(raw.select(*key_names, *cells, *counts, *[value.alias(name) for name, value in own.items()]))
+    rows = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    counted = rows.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in ("n_s", "n_t")], *[F.min(c).alias(c) for side in "st" for c in kept[side]])
+    left_over = durable(counted.where("n_s <> n_t"))
+
+    lone = {}
+    for side, other in ("st", "ts"):
+        mine = left_over.withColumn("n", F.col(f"n_{side}") - F.col(f"n_{other}")).where("n > 0")
+        lone[side] = _number_left_over(mine, key_names, groups, kept[side])
     left, right = lone["s"].alias("l"), lone["t"].alias("r")
+    in_source, in_target = F.col(f"l.{_OCCURRENCE}").isNotNull(), F.col(f"r.{_OCCURRENCE}").isNotNull()
+
+    def shown(side: str, rows: str, i: int) -> Column:
+        if i in carried:
+            return F.col(f"{rows}.{side}_shown")[f"o_{i}"]
+        cell = F.col(f"{rows}.c_{i}")
+        if i not in floats:
+            return cell
+        negative = F.col(f"{rows}.{side}_signs").bitwiseAND(F.lit(1 << floats.index(i)).cast("long")) != 0
+        return F.when(negative, F.lit(-0.0).cast(types[i][0])).otherwise(cell)
+
     match = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in [*key_names, _OCCURRENCE]]
-    others = left.join(right, match, "full_outer").select(
-        *[F.coalesce(f"l.{g}", f"r.{g}").alias(g) for g in [*key_names, _OCCURRENCE]],
-        F.when(F.col(f"l.{_OCCURRENCE}").isNotNull(), flag).alias(_IN_SOURCE), F.when(F.col(f"r.{_OCCURRENCE}").isNotNull(), flag).alias(_IN_TARGET),
-        F.lit(1).cast("long").alias(_WEIGHT), F.col("l.s_shown").alias("s_shown"), F.col("r.t_shown").alias("t_shown"))
-    paired = equal.unionByName(others)
     # Written once: statistics, differences and samples all read it.
-    return durable(paired.select(
-        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keys)], _OCCURRENCE, _IN_SOURCE, _IN_TARGET, _WEIGHT,
-        *[F.col(f"s_shown.o_{i}").alias(f"s_{i}") for i in n], *[F.col(f"t_shown.o_{i}").alias(f"t_{i}") for i in n]))
+    return durable(left.join(right, match, "full_outer").select(
+        *[F.coalesce(f"l.k_{i}", f"r.k_{i}").alias(k) for i, k in enumerate(keys)], F.coalesce(f"l.{_OCCURRENCE}", f"r.{_OCCURRENCE}").alias(_OCCURRENCE),
+        F.when(in_source, F.lit(1)).alias(_IN_SOURCE), F.when(in_target, F.lit(1)).alias(_IN_TARGET),
+        *[shown("s", "l", i).alias(f"s_{i}") for i in n], *[shown("t", "r", i).alias(f"t_{i}") for i in n]))
 
 
-def _number_left_over(rows: DataFrame, keys: Sequence[str], order: Sequence[str], shown: str) -> DataFrame:
-    """One row per copy with its 1-based number within the key, in the order of ``order`` (nulls first).
+def _number_left_over(rows: DataFrame, keys: Sequence[str], order: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """One row per copy, columns ``order`` and ``more``, with its 1-based number within the key in the order of ``order`` (nulls first).
 
     Rows are dealt out by range over key and cells and numbered within each part of a key; the parts' sums, a row per key
     and part, shift them. So a frequent key is spread like any other, and every size takes this path.
     """
     by = [F.col(c).asc_nulls_first() for c in order]
-    parts = durable(rows.select(*order, shown, "n").repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    parts = durable(rows.select(*order, *more, "n").repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
     before = Window.unboundedPreceding, -1
     inside = Window.partitionBy("part", *keys).orderBy(*by).rowsBetween(*before)
     placed = parts.withColumn("_skip", F.coalesce(F.sum("n").over(inside), F.lit(0)))
@@ -161,9 +178,9 @@ def _number_left_over(rows: DataFrame, keys: Sequence[str], order: Sequence[str]
     shifts = sums.select(
         F.col("part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
     match = [F.col("part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
-    ranges = placed.join(shifts, match).select(*keys, shown, "n", (F.col("_skip") + F.col("_shift")).alias("_before"))
+    ranges = placed.join(shifts, match).select(*order, *more, "n", (F.col("_skip") + F.col("_shift")).alias("_before"))
     unrolled = unroll_copies(ranges, "n", "_copy", [*keys, "_before"])
-    return unrolled.select(*keys, shown, (F.col("_before") + F.col("_copy")).alias(_OCCURRENCE))
+    return unrolled.select(*order, *more, (F.col("_before") + F.col("_copy")).alias(_OCCURRENCE))
 
 
 def pair_rows(
@@ -206,7 +223,7 @@ def pair_rows(
     types = [
         [comparable_type(df.schema[c].dataType) if pairing == "occurrence" else df.schema[c].dataType for c in names] for df in (source, target)
     ]
-    return PairedRows(paired, keys, names, *types, null_mode, extra, pairing == "occurrence")
+    return PairedRows(paired, keys, names, *types, null_mode, extra, (source, target) if pairing == "occurrence" else None)
 
 
 def _side(df: DataFrame, keys: Sequence[str], names: Sequence[str], prefix: str, flag: str) -> DataFrame:
@@ -258,10 +275,25 @@ def _pair_first(source: DataFrame, target: DataFrame, keys: Sequence[str], names
     return with_source.unionByName(target_only)
 
 
+def _with_equal_rows(pairs: PairedRows, sources: Sequence[Column], targets: Sequence[Column], different: Sequence[Column], nulls) -> DataFrame:
+    """One row of sums over all pairs, from those over the whole sides and over the rows that have no partner."""
+    lone_source, lone_target = F.col(_IN_TARGET).isNull(), F.col(_IN_SOURCE).isNull()
+    listed = pairs.df.agg(
+        F.count_if(lone_source).alias("lone"), *nulls("ls", lone_source, sources), *nulls("lt", lone_target, targets), *different)
+    source, target = pairs.sides
+    yes, names = F.lit(True), [col(c) for c in pairs.columns]
+    every_source, every_target = source.agg(F.count("*").alias("rows"), *nulls("as", yes, names)), target.agg(*nulls("at", yes, names))
+    n = range(len(names))
+    return listed.crossJoin(every_source).crossJoin(every_target).select(
+        (F.col("rows") - F.col("lone")).alias("total"), *[(F.col(f"as{i}") - F.col(f"ls{i}")).alias(f"sn{i}") for i in n],
+        *[(F.col(f"at{i}") - F.col(f"lt{i}")).alias(f"tn{i}") for i in n], *[f"d{i}" for i in n])
+
+
 def column_stats(pairs: PairedRows) -> DataFrame:
     """Per compared column: rows, nulls per side, passes, pass percentage and status.
 
-    All columns come from one aggregate over the paired rows. ``PASS`` needs exactly 100 %.
+    All columns come from one aggregate over the paired rows. Equal rows that were left out are counted as all rows of a side
+    but those listed. ``PASS`` needs exactly 100 %.
     """
     cells = pairs.cells()
     if not cells:
@@ -270,13 +302,16 @@ def column_stats(pairs: PairedRows) -> DataFrame:
             "target_null_count long, target_not_null_count long, pass_count long, pass_percentage double, status string"
         )
         return pairs.df.sparkSession.createDataFrame([], empty)
-    aggregates = [pairs.total().alias("total")]
-    for i, (_, s, t, differ) in enumerate(cells):
-        aggregates += [
-            pairs.total(s.isNull()).alias(f"sn{i}"),
-            pairs.total(t.isNull()).alias(f"tn{i}"),
-            pairs.total(differ).alias(f"d{i}"),
-        ]
+    def nulls(prefix: str, condition: Column, mine: Sequence[Column]) -> list[Column]:
+        return [F.count_if(condition & c.isNull()).alias(f"{prefix}{i}") for i, c in enumerate(mine)]
+
+    sources, targets = [s for _, s, _, _ in cells], [t for _, _, t, _ in cells]
+    different = [F.count_if(pairs.matched & differ).alias(f"d{i}") for i, (*_, differ) in enumerate(cells)]
+    if pairs.sides is None:
+        yes = F.lit(True)
+        summed = pairs.df.filter(pairs.matched).agg(F.count("*").alias("total"), *nulls("sn", yes, sources), *nulls("tn", yes, targets), *different)
+    else:
+        summed = _with_equal_rows(pairs, sources, targets, different, nulls)
     entries = [
         F.struct(
             F.lit(name).alias("column_name"),
@@ -286,7 +321,7 @@ def column_stats(pairs: PairedRows) -> DataFrame:
         )
         for i, (name, *_) in enumerate(cells)
     ]
-    long = pairs.df.filter(pairs.matched).agg(*aggregates).select("total", F.inline(F.array(*entries)))
+    long = summed.select("total", F.inline(F.array(*entries)))
     passed = F.col("total") - F.col("different")
     share = percent(passed, F.col("total"))
     return long.select(

@@ -166,6 +166,28 @@ def test_occurrence_with_odd_doubles(spark):
     assert diff.row_diff(_occurrence(source, target)).count() == 0
 
 
+def test_occurrence_writes_only_what_does_not_cancel(spark):
+    schema = "k int, a int, b string"
+    rows = [(n % 7, n, None if n % 3 else "x") for n in range(300)]
+    source = spark.createDataFrame([*rows, *rows, (1, None, None), (1, None, "gone")], schema)
+    target = spark.createDataFrame([*rows, *rows, (1, 5, None), (9, None, "new")], schema)
+    pairs = _occurrence(source, target)
+    assert pairs.df.count() == 3
+    stats = {r.column_name: r for r in diff.column_stats(pairs).collect()}
+    # The pair (null, null) and (5, null), and 600 equal ones.
+    assert [(r.total_records, r.source_null_count, r.target_null_count, r.pass_count) for r in (stats["a"], stats["b"])] == [
+        (601, 1, 0, 600), (601, 401, 401, 601)]
+
+
+def test_occurrence_shows_cells_as_they_were(spark):
+    source = spark.createDataFrame([(1, -0.0, -0.0), (2, 0.0, 1.5)], "k int, v double, w float")
+    target = spark.createDataFrame([(1, 2.0, -0.0), (2, -0.0, 2.5)], "k int, v double, w float")
+    rows = {r.k: [tuple(d) for d in r.differences] for r in diff.row_diff(_occurrence(source, target)).collect()}
+    assert rows == {1: [("v", "-0.0", "2.0")], 2: [("w", "1.5", "2.5")]}
+    cells = {r.k: (str(r.s_1), str(r.t_0), str(r.t_1)) for r in _occurrence(source, target).df.collect()}
+    assert cells == {1: ("-0.0", "2.0", "-0.0"), 2: ("1.5", "-0.0", "2.5")}
+
+
 def test_repeated_keys_are_noticed(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "k int, v string")
     with pytest.raises(ValueError, match="repeats"):
