@@ -1,4 +1,4 @@
-"""Readers by format name. Nothing is counted or cached on reading."""
+"""Readers by format name. Nothing is counted or cached on reading, but for one look at XML and at multi-line CSV."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tallymark.sources import layouts, quoted
+from tallymark.sources import elements, layouts, quoted
 
 Schema = T.StructType | str | None
 
@@ -17,6 +17,7 @@ _WHOLE_FILE_OPTIONS = {
     "linesep", "comment", "mode", "columnnameofcorruptrecord", "encoding", "charset", "multiline", "header",
     "pathglobfilter", "recursivefilelookup", "modifiedbefore", "modifiedafter",
 }
+_CORRUPT = "_corrupt_record"
 _SCAN_OPTIONS = {"header", "encoding", "multiLine", "inferSchema"}
 
 
@@ -74,6 +75,13 @@ def read_xml(
     spark: SparkSession, path: str, row_tag: str = "row", mode: str = "PERMISSIVE", schema: Schema = None,
     options: Mapping[str, Any] | None = None,
 ) -> DataFrame:
+    """XML elements. With a schema, files are read in byte ranges (see ``elements``) if their text allows it; otherwise, with
+    further options or a column of corrupt records, they go to Spark's reader, a task per file.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = wanted is not None and not options and mode.upper() in ("PERMISSIVE", "FAILFAST")
+    if plain and _CORRUPT not in wanted.names and elements.can_be_cut(spark, path, row_tag):
+        return elements.read_elements(spark, path, row_tag, wanted, mode)
     return _reader(spark, {"rowTag": row_tag, "mode": mode, **(options or {})}, schema).xml(path)
 
 

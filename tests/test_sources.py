@@ -51,6 +51,44 @@ def test_xml_row_tags(spark, folder):
     assert readers.read_episodic(spark, path, row_tag="person", schema="id int, name string").first().id == 1
 
 
+XML_SCHEMA = "_n int, id int, name string, tags array<string>, price double"
+
+
+def _people(n):
+    return "".join(
+        f'  <person n="{i}">\n<id>{i}</id><name> A &lt;{i}&gt; \u00e9 </name>{"<tags>x</tags>" * (i % 3)}<price>{i / 4}</price></person>\n' for i in range(n))
+
+
+def test_large_xml_file_is_read_by_several_tasks(spark, folder):
+    path = folder("p.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<data>\n{_people(4000)}<personal><id>7</id></personal></data>')
+    whole = spark.read.option("rowTag", "person").schema(XML_SCHEMA).xml(path).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10007")
+    try:
+        df = readers.read_xml(spark, path, row_tag="person", schema=XML_SCHEMA)
+        assert df.rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, whole)) and len(whole) == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", [
+    "<data><!-- </person><person> -->{}</data>",
+    "<data>{}<person n='5'><id>1</id><name><![CDATA[</person>]]></name></person></data>",
+    "<data>{}<person n='7'/><person><id>2</id></person ></data>",
+    "<data><person><id>9</id><person><id>8</id></person></person>{}</data>",
+    "<data><other><person><id>3</id></person></other>{}</data>",
+    "<data></data>",
+])
+@pytest.mark.parametrize("mode", ["PERMISSIVE", "FAILFAST"])
+def test_odd_xml_reads_as_spark_reads_it(spark, folder, text, mode):
+    path = folder("p.xml", text.format(_people(5)))
+    want = spark.read.option("rowTag", "person").option("mode", mode).schema(XML_SCHEMA).xml(path)
+    got = readers.read_xml(spark, path, row_tag="person", schema=XML_SCHEMA, mode=mode)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.dtypes == want.dtypes
+
+
 def test_positional_layouts(spark, folder):
     path = folder("p.txt", "01Ann  \n02Ben  \n")
     length = readers.read_dataset(spark, "fixedlength", path, fields={"id": (1, 2), "name": (3, 5)})
