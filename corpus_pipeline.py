@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No two documents whose five-word shingles have a Jaccard similarity of 0.8: the one with the smaller doc_id stays; rows
-    without a doc_id stay.
+    """No two documents whose five-word shingles have a Jaccard similarity of 0.8, found by SimHash fingerprints and by min-hash
+    bands: the one with the smaller doc_id stays; rows without a doc_id stay.
     """
     return neardup.keep_first(docs)
 

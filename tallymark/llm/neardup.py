@@ -1,8 +1,10 @@
 """Near-duplicate documents by the Jaccard similarity of their sets of five-word shingles.
 
-Fingerprints of 64 bits are no candidates for a similarity of 0.8: some ten bits differ there, and covering masks for a radius
-that holds nearly all such pairs (17) would take 2^18 tables. Candidates share a band instead, four min-hashes of the set;
-a pair at 0.8 misses all 24 bands with a probability of (1 - 0.8^4)^24 = 3e-6. Every candidate is verified on the whole sets.
+The method is op1's: SimHash fingerprints, of sets of five-word shingles here, linked at two or fewer differing bits by covering
+masks. Two bits don't reach a similarity of 0.8: some ten bits differ there, and covering masks
+for a radius that holds nearly all such pairs (17) would take 2^18 tables. So documents that share a band, four min-hashes
+of the set, are candidates as well; a pair at 0.8 misses all 24 bands with a probability of (1 - 0.8^4)^24 = 3e-6. Every
+candidate is verified on the whole sets. Groups are not closed over chains: a document goes only if it is near to a smaller one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.arrow import free_names, map_blocks, row_blocks, text_columns
+from tallymark.llm.simhash import fingerprint_links
 from tallymark.llm.substrings import shingles
 from tallymark.session import broadcast_if_small, durable
 
@@ -49,6 +52,15 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=n) - (1 << 63) for n, row in enumerate(least.reshape(BANDS, BAND_HASHES))]
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed integer: a bit is 1 if it is in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(own), _AT_ONCE):
+        part = own[start:start + _AT_ONCE]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of distinct values."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -59,27 +71,41 @@ def _sketch(rows: list[tuple]) -> list[tuple]:
     made = []
     for doc_id, text in rows:
         own = shingle_set(text)
-        made.append((doc_id, xxhash.xxh128_digest(own.tobytes()), bands(own)))
+        made.append((doc_id, xxhash.xxh128_digest(own.tobytes()), fingerprint(own), bands(own)))
     return made
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``node, first``: candidates whose components are those of all fingerprints at two or fewer differing bits: the least node of a
+    fingerprint with its others, and with that of a linked fingerprint.
+    """
+    least = durable(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = nodes.join(least, "fp").select("node", F.col("least").alias("first"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    linked = fingerprint_links(least.select("fp")).join(a, "a").join(b, "b")
+    pairs = equal.unionByName(linked.select(F.greatest("least_a", "least_b").alias("node"), F.least("least_a", "least_b").alias("first")))
+    return pairs.where("node != first").distinct()
+
+
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node`` and ``node, first``: the smallest doc_id with the same set, and verified links to smaller ones.
 
-    In each round every band's documents are compared with its representatives: the smallest doc_id at first, later that of
+    Pairs by fingerprint come first. In each round every band's documents are compared with its representatives: the smallest doc_id at first, later that of
     each of 4, 16, ... parts. Representatives then leave the band, for they have met all that is left in it, and documents
     linked to a smaller one leave all bands. It ends when no band holds two documents, so of two near documents
     that share a band one always has a link. A large group of near copies is settled by its first, without pairs.
     """
     docs = text_columns(df, id_col, text_col).where("doc_id IS NOT NULL")
-    sketches = durable(map_blocks(docs, _sketch, "doc_id long, digest binary, bands array<long>"))
-    nodes = durable(sketches.groupBy("digest", "bands").agg(F.min("doc_id").alias("node")))
+    sketches = durable(map_blocks(docs, _sketch, "doc_id long, digest binary, fp long, bands array<long>"))
+    nodes = durable(sketches.groupBy("digest", "fp", "bands").agg(F.min("doc_id").alias("node")))
     same = sketches.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.countDistinct("node").alias("n")).where("n > 1").select("key")
     open_ = durable(keyed.join(shared, "key").select("key", "node").distinct())
-    asked = broadcast_if_small(durable(open_.select(F.col("node").alias("doc_id")).distinct()))
+    prints = durable(fingerprint_pairs(nodes.select("fp", "node")))
+    asked = open_.select("node").unionByName(prints.select(F.explode(F.array("node", "first")).alias("node")))
+    asked = broadcast_if_small(durable(asked.select(F.col("node").alias("doc_id")).distinct()))
 
     def pack(rows: list[tuple]) -> list[tuple]:
         return [(doc_id, np.unique((shingle_set(text) >> np.uint64(32)).astype(np.uint32)).tobytes()) for doc_id, text in rows]
@@ -99,10 +125,11 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", at
         part = F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))
         heads = durable(open_.groupBy("key", part.alias("part")).agg(F.min("node").alias("head")).select("key", "head"))
         met = open_.join(heads, "key").where("node != head")
-        pairs = met.select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("first")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "first"], "left_anti")
-        pairs = durable(pairs)
+        pairs = met.select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("first"))
+        if tested is None:
+            pairs = durable(pairs.unionByName(prints).distinct())
+        else:
+            pairs = durable(pairs.distinct().join(tested, ["node", "first"], "left_anti"))
         found = durable(pairs.join(sets, "node").join(firsts, "first").select("first", "node", "own", "other")
                         .mapInArrow(compare, "node long, first long").distinct())
         links = found if links is None else durable(links.unionByName(found))

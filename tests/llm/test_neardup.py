@@ -2,6 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from conftest import SF
 from tallymark.llm import neardup
@@ -40,6 +41,26 @@ def test_the_stage_drops_all_near_copies(spark):
     assert {b for _, b in near} >= set(range(len(texts))) - kept
 
 
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """Near copies within two bits meet by their fingerprints; far texts with the same fingerprint are not linked."""
+    def sketch(rows, same=None):
+        sets = [(doc_id, neardup.shingle_set(text)) for doc_id, text in rows]
+        return [(doc_id, str(doc_id).encode(), neardup.fingerprint(own) if same is None else same, []) for doc_id, own in sets]
+
+    monkeypatch.setattr(neardup, "_sketch", lambda rows: sketch(rows))
+    texts = [t for seed in range(40) for t in copies(seed, 600, 1)]
+    prints = [neardup.fingerprint(neardup.shingle_set(t)) for t in texts]
+    ones = [((neardup.shingle_set(texts[0])[:, None] >> np.uint64(bit)) & np.uint64(1)).sum() for bit in range(64)]
+    assert [2 * int(n) > len(neardup.shingle_set(texts[0])) for n in ones] == [bool(prints[0] >> bit & 1) for bit in range(64)]
+    within = {b for a, b in itertools.combinations(range(80), 2) if (prints[a] ^ prints[b]).bit_count() <= 2 and jaccard(texts[a], texts[b]) >= 0.8}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in neardup.keep_first(df).collect()}
+    assert len(within) >= 10 and set(range(80)) - kept == within
+    monkeypatch.setattr(neardup, "_sketch", lambda rows: sketch(rows, 5))
+    far = spark.createDataFrame([(n, copies(100 + n, 60, 0)[0]) for n in range(5)], "doc_id long, text string")
+    assert neardup.keep_first(far).count() == 5
+
+
 def test_the_first_of_a_band_is_not_the_only_one_compared(spark, monkeypatch):
     """All share every band: the first is near to none, the others are near in twos."""
     monkeypatch.setattr(neardup, "bands", lambda own: [1, 2])
