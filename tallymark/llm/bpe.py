@@ -4,7 +4,8 @@ A pre-token is a linked list of byte pieces. Every adjacent pair that the vocabu
 the bucket of its rank; three levels of 64-bit words say which buckets are filled, so find-first-set
 gives the lowest rank in a fixed number of steps whatever the length. Popped entries whose pair has
 changed since are stale and skipped. A pre-token of n bytes costs O(n log n) instead of the O(n^2) of
-rescanning, which is what a megabyte without a space needs.
+rescanning, which is what a megabyte without a space needs. Pre-tokens of a few bytes, nearly all of a text's, are merged
+together instead: those of one length are the rows of a matrix, and every step merges the lowest pair of each row.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _REMEMBERED = 100_000
 _KEPT = 20_000
 _LONGEST_REMEMBERED = 64
 _ID_BITS = 18
+_SHORT = 32
+_NO_RANK = 1 << _ID_BITS
 _U4 = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -81,11 +84,55 @@ class BytePairEncoder:
         }
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.byte_pairs = np.array([self.joined.get(int(a) << _ID_BITS | int(b), -1) for a in self.byte_ids for b in self.byte_ids])
+        pairs = np.array(sorted(self.joined.items()), np.int64).reshape(-1, 2)
+        self.joined_keys, self.joined_ranks = np.append(pairs[:, 0], -1), np.append(pairs[:, 1], _NO_RANK)
         self.find = regex.compile(pattern).findall
         self.pieces, self.words = Memory(), Memory()
 
     def merge(self, words: Sequence[bytes]) -> list[list[int]]:
-        """Ids of pre-tokens. They lie in one linked list that is cut between them, so each is merged
+        """Ids of pre-tokens: each is merged lowest rank first, the leftmost of equal ones first."""
+        lengths = np.array([len(word) for word in words], np.int64)
+        ids: list[list[int]] = [[] for _ in words]
+        for length in np.unique(lengths[(lengths > 0) & (lengths <= _SHORT)]).tolist():
+            at = np.flatnonzero(lengths == length)
+            text = np.frombuffer(b"".join([words[n] for n in at.tolist()]), np.uint8)
+            self._merge_rows(at, text.reshape(len(at), length), ids)
+        long = np.flatnonzero(lengths > _SHORT).tolist()
+        for n, own in zip(long, self._merge_long([words[n] for n in long]), strict=True):
+            ids[n] = own
+        return ids
+
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << _ID_BITS | right
+        at = self.joined_keys[:-1].searchsorted(keys)
+        return np.where(self.joined_keys[at] == keys, self.joined_ranks[at], _NO_RANK)
+
+    def _merge_rows(self, at: np.ndarray, text: np.ndarray, ids: list[list[int]]) -> None:
+        """Put the ids of pre-tokens of one length, the rows of ``text``, into ``ids`` at ``at``. Each step takes one pair of every row that has one."""
+        parts = self.byte_ids[text]
+        ranks = self.byte_pairs[text[:, :-1].astype(np.int64) << 8 | text[:, 1:]]
+        ranks = np.where(ranks < 0, _NO_RANK, ranks)
+        while ranks.shape[1]:
+            place = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(at)), place]
+            done = least == _NO_RANK
+            if done.any():
+                for n, own in zip(at[done].tolist(), parts[done].tolist(), strict=True):
+                    ids[n] = own
+                at, parts, ranks, place, least = (a[~done] for a in (at, parts, ranks, place, least))
+            rows, width = np.arange(len(at)), parts.shape[1]
+            parts[rows, place] = least
+            columns = np.arange(width - 1)
+            parts = np.take_along_axis(parts, columns + (columns > place[:, None]), 1)
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= place[:, None]), 1)
+            behind, ahead = rows[place < width - 2], rows[place > 0]
+            ranks[behind, place[behind]] = self._pair_ranks(least[behind], parts[behind, place[behind] + 1])
+            ranks[ahead, place[ahead] - 1] = self._pair_ranks(parts[ahead, place[ahead] - 1], least[ahead])
+        for n, own in zip(at.tolist(), parts.tolist(), strict=True):
+            ids[n] = own
+
+    def _merge_long(self, words: Sequence[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens of any length. They lie in one linked list that is cut between them, so each is merged
         lowest rank first, the leftmost of equal ones first, while the queue is walked once for all.
         """
         rank_of, queue, buckets = self.joined.get, self.queue, self.queue.buckets

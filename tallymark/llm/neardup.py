@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.arrow import free_names, map_blocks, row_blocks, text_columns
 from tallymark.llm.simhash import fingerprint_links
-from tallymark.llm.substrings import shingles
+from tallymark.llm.substrings import shingles_of
 from tallymark.session import broadcast_if_small, durable
 
 SIMILARITY = 0.8
@@ -29,27 +29,50 @@ _AT_ONCE = 1 << 14
 _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its five-word shingles; a text of fewer words is one shingle, none without a word."""
+    found = shingles_of(texts)
+    for n, own in enumerate(found):
+        if not len(own):
+            words = texts[n].encode().lower().split()
+            own = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=7)] if words else [], np.uint64)
+        own = np.sort(own)
+        found[n] = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+    return found
+
+
 def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a text's five-word shingles; a text of fewer words is one shingle, none without a word."""
-    own = shingles(text)
-    if not len(own):
-        words = text.encode().lower().split()
-        own = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=7)] if words else [], np.uint64)
-    return np.unique(own)
-
-
-def bands(own: np.ndarray) -> list[int]:
-    """One key per band, which two sets share when its four min-hashes agree; none for an empty set."""
-    if not len(own):
-        return []
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    mixed = own ^ own >> np.uint64(29)
-    for start in range(0, len(own), _AT_ONCE):
-        part = mixed[start:start + _AT_ONCE]
-        for k, factor in enumerate(_FACTORS):
-            values = part * factor
-            least[k] = min(least[k], (values ^ values >> np.uint64(32)).min())
-    return [xxhash.xxh64_intdigest(row.tobytes(), seed=n) - (1 << 63) for n, row in enumerate(least.reshape(BANDS, BAND_HASHES))]
+    """The set of one text."""
+    return shingle_sets([text])[0]
+
+
+def min_hashes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set its least value under every hash; none for an empty set. Some sets are hashed in one array."""
+    found = [np.empty(0, np.uint64) for _ in sets]
+    some, size = [], 0
+    for n, own in enumerate(sets):
+        if len(own):
+            some.append(n)
+            size += len(own)
+        if some and (size >= _AT_ONCE or n == len(sets) - 1):
+            data = np.concatenate([sets[k] for k in some])
+            data ^= data >> np.uint64(29)
+            starts = np.cumsum([0, *(len(sets[k]) for k in some[:-1])])
+            least, values, high = np.empty((len(_FACTORS), len(some)), np.uint64), np.empty_like(data), np.empty_like(data)
+            for k, factor in enumerate(_FACTORS):
+                np.multiply(data, factor, out=values)
+                np.right_shift(values, np.uint64(32), out=high)
+                np.bitwise_xor(values, high, out=values)
+                np.minimum.reduceat(values, starts, out=least[k])
+            for k, own in zip(some, np.ascontiguousarray(least.T), strict=True):
+                found[k] = own
+            some, size = [], 0
+    return found
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """One key per band from a set's min-hashes, which two sets share when its four agree."""
+    return [xxhash.xxh64_intdigest(row.tobytes(), seed=n) - (1 << 63) for n, row in enumerate(least.reshape(-1, BAND_HASHES))]
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -68,11 +91,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketch(rows: list[tuple]) -> list[tuple]:
-    made = []
-    for doc_id, text in rows:
-        own = shingle_set(text)
-        made.append((doc_id, xxhash.xxh128_digest(own.tobytes()), fingerprint(own), bands(own)))
-    return made
+    sets = shingle_sets([text for _, text in rows])
+    return [(doc_id, xxhash.xxh128_digest(own.tobytes()), fingerprint(own), bands(least))
+            for (doc_id, _), own, least in zip(rows, sets, min_hashes(sets), strict=True)]
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -108,7 +129,8 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", at
     asked = broadcast_if_small(durable(asked.select(F.col("node").alias("doc_id")).distinct()))
 
     def pack(rows: list[tuple]) -> list[tuple]:
-        return [(doc_id, np.unique((shingle_set(text) >> np.uint64(32)).astype(np.uint32)).tobytes()) for doc_id, text in rows]
+        sets = shingle_sets([text for _, text in rows])
+        return [(doc_id, np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes()) for (doc_id, _), own in zip(rows, sets, strict=True)]
 
     sets = durable(map_blocks(docs.join(asked, "doc_id", "left_semi"), pack, "node long, own binary").distinct())
     firsts = sets.withColumnsRenamed({"node": "first", "own": "other"})

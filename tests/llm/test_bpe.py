@@ -66,3 +66,14 @@ def test_odd_rows(odd, nothing):
     assert got == sorted((str(r["doc_id"]), r["text"] or "") for r in odd.collect())
     assert bpe.encoding_digests(odd, PATH, public_tokenizers.PATTERN).count() == odd.count()
     assert bpe.encoding_digests(nothing, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_short_pre_tokens_are_merged_together_and_as_by_the_queue(ours, monkeypatch):
+    draw = random.Random(6)
+    drawn = [bytes(draw.choice(b"aabethrn \xc3\xa9\x00") for _ in range(draw.choice([0, 1, 2, 3, 7, 20, 32]))) for _ in range(400)]
+    drawn += [b"a" * n for n in range(33)]
+    wanted = ours._merge_long(drawn)
+    monkeypatch.setattr(ours, "_merge_long", lambda words: [pytest.fail("queued") for _ in words])
+    assert ours.merge(drawn) == wanted
+    monkeypatch.undo()
+    assert ours.merge([b"", b"a" * 33, b"th"]) == ours._merge_long([b"", b"a" * 33, b"th"])

@@ -3,6 +3,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import xxhash
 
 from conftest import SF
 from tallymark.llm import neardup
@@ -75,3 +76,17 @@ def test_many_near_copies_and_odd_rows(spark, odd, nothing):
     kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["0", "900", "None"]
     assert neardup.keep_first(odd).columns == odd.columns and neardup.keep_first(nothing).count() == 0
+
+
+def test_min_hashes_of_several_sets_in_one_array(monkeypatch):
+    monkeypatch.setattr(neardup, "_AT_ONCE", 300)
+    texts = ["", "a b", " ", *(" ".join(f"{k}w{n}" for n in range(size)) for k, size in enumerate((5, 200, 3, 900, 40)))]
+    sets = neardup.shingle_sets(texts)
+    assert [own.tolist() for own in sets] == [neardup.shingle_set(t).tolist() for t in texts]
+    found = [neardup.bands(least) for least in neardup.min_hashes(sets)]
+    assert [len(keys) for keys in found] == [24 if len(own) else 0 for own in sets]
+    for own, keys in zip(sets, found, strict=True):
+        mixed = own ^ own >> np.uint64(29)
+        for band, key in enumerate(keys):
+            least = [min(int(v ^ v >> np.uint64(32)) for v in mixed * f) for f in neardup._FACTORS[4 * band:4 * band + 4]]
+            assert key == xxhash.xxh64_intdigest(np.array(least, np.uint64).tobytes(), seed=band) - (1 << 63)
